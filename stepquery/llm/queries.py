@@ -20,5 +20,18 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, result="digest")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op8_bpe": op8_bpe}
+def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import shard
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return shard.shard(docs).select("doc_id", "size", F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "law", "shard", "slot", "grown_shard")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import warc
+
+    return warc.read(warc.write(table(spark, sf_dir, "pages")), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_histogram_sort, op8_bpe, op9_warc)}
 ORACLE_SQL: dict[str, str] = {}
