@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .chat import ORACLE as CHAT_SQL
 from .common import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -20,6 +21,28 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, result="digest")
 
 
+def op4_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import audio
+
+    got = audio.features(audio.store(table(spark, sf_dir, "documents")))
+    feature = F.concat_ws(":", "frames", (F.size("spans_ms") / 2).cast("int"), F.coalesce(F.try_element_at("spans_ms", F.lit(1)), F.lit(-1)), F.crc32("tensors"))
+    return got.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    return chat.rotate(table(spark, sf_dir, "conversations"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op5_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import shard
 
@@ -33,5 +56,5 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages")), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_histogram_sort, op8_bpe, op9_warc)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_audio, op5_histogram_sort, op6_chat, op7_quality, op8_bpe, op9_warc)}
+ORACLE_SQL: dict[str, str] = {"op6_chat": CHAT_SQL}
