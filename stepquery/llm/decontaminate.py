@@ -11,11 +11,11 @@ are added for each passage and block of items; blocks whose bound cannot reach t
 what is left is scored exactly. So all items above the threshold are found, and no others.
 
 A retrieved item is verified: the word shingles of its question (all sentences but the last) and of its answer (the last
-one) must each occur in the passage to OVERLAP or more.
+one, and those before it while it has fewer words than a shingle) must each occur in the passage to OVERLAP or more.
 
 Defined results: words are runs of characters between white space and ASCII punctuation, in lower case; a null or empty
-text holds nothing; an item without words matches nothing; an item of one sentence is question and answer at once, a
-part shorter than a shingle is one shingle; repeated rows give repeated results in `find` and share their fate in
+text holds nothing; an item without words matches nothing; an item that cannot be divided so is
+question and answer at once, and one shorter than a shingle is one shingle; repeated rows give repeated results in `find` and share their fate in
 `clean`; with an empty benchmark nothing is found; other columns are carried along by `clean`.
 """
 
@@ -49,14 +49,23 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(TABLE).split()
 
 
-def shingles(words: list[bytes]) -> set[tuple[bytes, ...]]:
-    return {tuple(words[i : i + SHINGLE]) for i in range(max(1, len(words) - SHINGLE + 1))} if words else set()
+def shingles(words: list[bytes], n: int = SHINGLE) -> set[tuple[bytes, ...]]:
+    return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))} if words else set()
+
+
+def overlap(part: set[tuple[bytes, ...]], words: list[bytes]) -> float:
+    """The share of a part's shingles that occur among the words."""
+    return len(part & shingles(words, len(next(iter(part))))) / len(part) if part else 0.0
 
 
 def parts(text: str) -> tuple[str, str]:
-    """Question and answer."""
+    """Question and answer: the last sentence, or so many of the last ones that they fill a shingle."""
     sentences = [s for s in re.split(r"(?<=[.!?])\s+", text.strip()) if words_of(s)]
-    return (" ".join(sentences[:-1]), sentences[-1]) if len(sentences) > 1 else (text, text)
+    for k in range(len(sentences) - 1, 0, -1):
+        question, answer = " ".join(sentences[:k]), " ".join(sentences[k:])
+        if len(words_of(answer)) >= SHINGLE:
+            return (question, answer) if len(words_of(question)) >= SHINGLE else (text, text)
+    return text, text
 
 
 @dataclass(frozen=True)
@@ -161,8 +170,8 @@ def leaks(x: Index, texts: list[str | None]) -> list[tuple[int, object, float, f
     best: dict[tuple[int, int], tuple] = {}
     for doc, first, i, score in search(x, ids):
         # half a passage more on either side: an item that starts in the passage may end beyond it
-        near = shingles(words[doc][max(0, first - x.half) : first + 3 * x.half])
-        question, answer = (len(p & near) / len(p) if p else 0.0 for p in x.parts[i])
+        near = words[doc][max(0, first - x.half) : first + 3 * x.half]
+        question, answer = (overlap(p, near) for p in x.parts[i])
         if question >= OVERLAP and answer >= OVERLAP:
             best[doc, i] = max(best.get((doc, i), (0.0, 0.0, 0.0)), (score, question, answer))
     return [(doc, x.ids[i], *v) for (doc, i), v in sorted(best.items())]
