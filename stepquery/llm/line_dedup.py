@@ -1,7 +1,7 @@
 """Line dedup by winnowing.
 
-A line is what ends at a line break, at the end of a sentence, or behind a word whose hash says so; the last two let a
-passage be found again that was put into the middle of another line. Every run of whole lines with at least MIN_WORDS
+A line is what ends at a line break, at the end of a sentence, or behind a word whose hash says so (or LONGEST words); all but
+the first let a passage be found again that was put into the middle of another line. Every run of whole lines with at least MIN_WORDS
 words starts a window; a window's least line hash is its fingerprint, so two texts that share such a run share a
 fingerprint (guaranteed by winnowing). Fingerprints that occur once are dropped. Windows of the others are joined on the
 hash of all their words with the first position of those words. Matches extend both ways by the windows that start before and after: a run's
@@ -31,6 +31,8 @@ from .common import as_strings, materialize, small_batches
 MIN_WORDS = 32
 #: One word in so many ends a line whatever it is.
 SOFT = 8
+#: A line without any such end is cut after so many words.
+LONGEST = 24
 #: Deletions of up to so many bytes are broadcast; more are joined by a shuffle.
 BROADCAST = 32 << 20
 #: Words whose hashes a worker keeps.
@@ -87,23 +89,19 @@ class Windows:
     def of(self, text: str) -> tuple[np.ndarray, ...] | None:
         tokens = tokens_of(text)
         h = np.fromiter(map(self.words.__getitem__, tokens), np.uint64, len(tokens))
-        real = (h & np.uint64(GAP)) == 0
-        count = np.concatenate([[0], np.cumsum(real)])
-        if count[-1] < self.least:
+        place = np.nonzero((h & np.uint64(GAP)) == 0)[0]
+        if len(place) < self.least:
             return None
-        ends = np.nonzero(h & np.uint64(NEWLINE))[0] + 1
-        if not len(ends) or ends[-1] != len(h):
-            ends = np.append(ends, len(h))
-        starts = np.concatenate([[0], ends[:-1]])
-        full = count[ends] > count[starts]
-        starts, ends = starts[full], ends[full]
         # words only, numbered without gaps: what stands between them does not change a hash
-        first, last = count[starts], count[ends]
+        cut = np.searchsorted(place, np.nonzero(h & np.uint64(NEWLINE))[0], "right")
+        cut = np.unique(np.concatenate([[0], cut, [len(place)]]))
+        long = np.nonzero(np.diff(cut) > LONGEST)[0]
+        if len(long):
+            cut = np.unique(np.concatenate([cut, *(np.arange(cut[i], cut[i + 1], LONGEST) for i in long)]))
+        first, last = cut[:-1], cut[1:]
         stop = np.searchsorted(last, first + self.least, "left")
-        ok = stop < len(starts)
-        if not ok.any():
-            return None
-        w = h[real]
+        ok = stop < len(first)
+        w = h[place]
         if len(w) >= len(self.tables[0][0]):
             self.tables = [powers(2 * len(w), b) for b in BASES]
         hashes = []
@@ -116,7 +114,7 @@ class Windows:
         line ^= line >> np.uint64(32)
         begin, end = np.nonzero(ok)[0], stop[ok]
         prints = least_between(line, begin, end + 1)
-        return starts[begin].astype(np.int32), ends[end].astype(np.int32), prints.view(np.int64), *(x(first[begin], last[end]).view(np.int64) for x in hashes)
+        return place[first[begin]].astype(np.int32), (place[last[end] - 1] + 1).astype(np.int32), prints.view(np.int64), *(x(first[begin], last[end]).view(np.int64) for x in hashes)
 
 
 def least_between(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
