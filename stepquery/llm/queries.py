@@ -69,5 +69,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages")), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op3_decontaminate, op4_audio, op5_histogram_sort, op6_chat, op7_quality, op8_bpe, op9_warc)}
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html
+
+    return html.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op3_decontaminate, op4_audio, op5_histogram_sort, op6_chat, op7_quality, op8_bpe, op9_warc, op10_html)}
 ORACLE_SQL: dict[str, str] = {"op6_chat": CHAT_SQL}
