@@ -21,6 +21,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, result="digest")
 
 
+def op1_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import jaccard_join
+
+    return jaccard_join.components(table(spark, sf_dir, "documents"))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import line_dedup
 
@@ -75,5 +81,5 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_line_dedup, op3_decontaminate, op4_audio, op5_histogram_sort, op6_chat, op7_quality, op8_bpe, op9_warc, op10_html)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard, op2_line_dedup, op3_decontaminate, op4_audio, op5_histogram_sort, op6_chat, op7_quality, op8_bpe, op9_warc, op10_html)}
 ORACLE_SQL: dict[str, str] = {"op6_chat": CHAT_SQL}
