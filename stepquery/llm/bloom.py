@@ -10,8 +10,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: 64-bit words of a filter at most (4 MB), and words for each value below that.
-MOST, EACH = 1 << 19, 0.25
+#: 64-bit words of a filter at most (16 MB), and words for each value below that.
+MOST, EACH = 1 << 21, 0.25
 #: Odd multipliers that take a 64-bit hash to its bits.
 MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 

@@ -2,8 +2,10 @@
 
 A document's set holds the hashes of its distinct word n-grams. Equal sets are one class, found by a 128-bit digest. Two
 sets that reach the similarity share a token in their prefixes (the first |x| - ceil(t|x|) + 1 tokens) under every global
-order. Three orders are used: frequent tokens last by a corpus-wide count sketch, ties by three different hashes. The
-first order's prefixes are the index; each of its buckets names its most central member, and all buckets with the same
+order. Four orders are used. The first is that of the hashes themselves: sets of a similar pair share many of the first
+tokens of twice the prefix's length, so a set of which too few are found in a second set is out before anything else is
+done (the shared tokens' Bloom filter lets through some more, never fewer). The others put frequent tokens last, by a
+corpus-wide count sketch, with ties by three different hashes. The second order's prefixes are the index; each of its buckets names its most central member, and all buckets with the same
 one make a family, so every pair of a bucket meets in a family. There candidates must share prefix tokens under every order before their
 overlap is counted exactly.
 
@@ -28,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom
+from . import words as words_module
 from .common import as_bytes, materialize, small_batches
 
 WORDS, PERCENT = 4, 85
@@ -37,35 +40,30 @@ SKETCH = 20
 FAMILY_TOKENS = 2_000_000
 #: Removed ids of up to so many bytes are broadcast; more are joined by a shuffle.
 BROADCAST = 32 << 20
+#: Digests of equal sets that a task remembers.
 CACHE = 1_000_000
 #: One odd multiplier for each global order.
 ORDERS = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)))
-A, B = np.uint64(0xD1342543DE82EF95), np.uint64(0xFF51AFD7ED558CCD)
+A, B = words_module.A, words_module.B
 
 
-class Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-def shingles(data: bytes, n: int, hashes: Hashes) -> np.ndarray:
+def shingles(data: bytes, n: int) -> np.ndarray:
     """Sorted distinct hashes of the word n-grams."""
-    words = data.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(words) < n:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    with np.errstate(over="ignore"):
-        out = h[: len(h) - n + 1].copy()
-        for k in range(1, n):
-            out = (out * A) ^ (out >> np.uint64(31))
-            out += h[k : len(h) - n + 1 + k]
-        out = (out ^ (out >> np.uint64(33))) * B
-    return np.unique(out ^ (out >> np.uint64(33)))
+    h = words_module.split(data, fold=True)[0]
+    if 0 < len(h) < n:
+        return np.array([xxhash.xxh3_64_intdigest(h.tobytes(), seed=len(h))], np.uint64)
+    if not len(h):
+        return h
+    out = h[: len(h) - n + 1].copy()
+    for k in range(1, n):
+        out *= A
+        out ^= out >> np.uint64(31)
+        out += h[k : len(h) - n + 1 + k]
+    out ^= out >> np.uint64(33)
+    out *= B
+    out ^= out >> np.uint64(33)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def digest(tokens: np.ndarray) -> tuple[int, int]:
@@ -77,6 +75,16 @@ def prefix_length(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def screen_length(n: int, percent: int) -> int:
+    return min(n, 2 * prefix_length(n, percent))
+
+
+def screen_least(n: int, percent: int) -> int:
+    """How many of a set's first tokens a similar set shares at least, whatever its own size."""
+    smallest = max(1, (percent * n + 99) // 100)
+    return 1 + screen_length(smallest, percent) - prefix_length(smallest, percent)
+
+
 def similar(inter, a, b, percent: int):
     return 100 * inter >= percent * (a + b - inter)
 
@@ -97,9 +105,9 @@ def _scan(plain: DataFrame, n: int) -> DataFrame:
     """One row for each document (doc, n, s1, s2), and the frequent counters of each task (doc null, slot, seen)."""
 
     def run(batches):
-        hashes, sketch = Hashes(), np.zeros(1 << SKETCH, np.int64)
+        sketch = np.zeros(1 << SKETCH, np.int64)
         for batch in small_batches(batches, 512):
-            sets = [shingles(x, n, hashes) for x in as_bytes(batch.column(1))]
+            sets = [shingles(x, n) for x in as_bytes(batch.column(1))]
             if sets:
                 sketch += np.bincount(slots(np.concatenate(sets)), minlength=len(sketch))
             ids = [digest(s) if len(s) else (None, None) for s in sets]
@@ -120,18 +128,40 @@ def levels(scan: DataFrame) -> np.ndarray:
     return np.log2(1 + seen).astype(np.uint8)
 
 
-def _index(plain: DataFrame, n: int, percent: int, level) -> DataFrame:
-    """(token, s1, s2, n, rank) for every prefix token under the first order; rank: centrality, then digest."""
+def _first_tokens(plain: DataFrame, n: int, percent: int) -> DataFrame:
+    """(token) for each of the first tokens of every set, in the order of their hashes."""
+
+    def run(batches):
+        done = set()
+        for batch in small_batches(batches, 512):
+            out = []
+            for x in as_bytes(batch.column(1)):
+                s = shingles(x, n)
+                if len(s) and (d := digest(s)) not in done:
+                    done.add(d)
+                    out.append(s[: screen_length(len(s), percent)])
+            if len(done) > CACHE:
+                done.clear()
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], names=["token"])
+
+    return plain.mapInArrow(run, "token long")
+
+
+def _index(plain: DataFrame, n: int, percent: int, level, common) -> DataFrame:
+    """(token, s1, s2, n, rank) for every prefix token of the sets that pass the screen; rank: centrality, then digest."""
 
     def run(batches):
-        hashes, done = Hashes(), set()
+        done = set()
         for batch in small_batches(batches, 256):
             out = []
             for x in as_bytes(batch.column(1)):
-                s = shingles(x, n, hashes)
+                s = shingles(x, n)
                 if not len(s) or (d := digest(s)) in done:
                     continue
                 done.add(d)
+                if np.count_nonzero(common.value.has(s[: screen_length(len(s), percent)].view(np.int64))) < screen_least(len(s), percent):
+                    continue
                 keys = order_keys(s, level.value, 0)
                 p = prefix_length(len(s), percent)
                 first = s[np.argpartition(keys, p - 1)[:p]] if p < len(s) else s
@@ -150,10 +180,10 @@ def _sets(plain: DataFrame, n: int, wanted) -> DataFrame:
     """(s1, s2, tokens) of the sets that may be in a family."""
 
     def run(batches):
-        hashes, done = Hashes(), set()
+        done = set()
         for batch in small_batches(batches, 256):
             out = []
-            sets = [s for x in as_bytes(batch.column(1)) if len(s := shingles(x, n, hashes))]
+            sets = [s for x in as_bytes(batch.column(1)) if len(s := shingles(x, n))]
             ids = [digest(s) for s in sets]
             ok = wanted.value.has(np.array([d[0] for d in ids], np.int64))
             for s, d, keep in zip(sets, ids, ok, strict=True):
@@ -260,7 +290,9 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     level = context.broadcast(levels(scan))
     rows = scan.where("slot is null").drop("slot", "seen")
     plain = plain.where("doc is not null")
-    index = _index(plain, words, percent, level)
+    twice = materialize(_first_tokens(plain, words, percent).groupBy("token").count().where("count > 1").select("token"), "tokens")
+    common = context.broadcast(bloom.build(twice, "token"))
+    index = _index(plain, words, percent, level, common)
     shared = index.groupBy("token").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.max("rank").alias("family")).where("lo < hi").select("token", "family")
     members = materialize(index.join(shared, "token").groupBy("family", "s1", "s2").agg(F.first("n").alias("n")), "members")
     parts = members.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY_TOKENS).cast("long").alias("blocks"))
