@@ -97,7 +97,7 @@ class Archive:
         self.uri, self.records, self.size, self.held, self.held_size = uri, 0, 0, [], 0
         self.fs, self.path = _open(uri)
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
-        self.out, self.pack = self.fs.open_output_stream(self.path), None
+        self.out, self.pack = self.fs.open_output_stream(self.path, compression=None), None
 
     def add(self, data: bytes) -> None:
         self.records += 1
@@ -167,7 +167,7 @@ def records(uri: str) -> Iterator[tuple[dict[str, str], bytes]]:
     import zstandard as z
 
     fs, path = _open(uri)
-    with fs.open_input_stream(path) as raw:
+    with fs.open_input_stream(path, compression=None) as raw:
         head = raw.read(8)
         assert int.from_bytes(head[:4], "little") == MAGIC, f"{uri} has no dictionary frame"
         d = z.ZstdCompressionDict(raw.read(int.from_bytes(head[4:], "little")))
