@@ -89,7 +89,8 @@ def node(tag: str, attrs: dict[str, str], parent: int, above: Node | None) -> No
         or "display:none" in attrs.get("style", "").replace(" ", "").lower()
         or (tag not in NEVER and bool(names) and bool(NAMES.search(names)))
     )
-    classes = ".".join(sorted(re.sub(r"\d+", "#", c) for c in attrs.get("class", "").split()))
+    # the classes of a whole page tell pages apart, not places in them
+    classes = "" if tag == "body" else ".".join(sorted(re.sub(r"\d+", "#", c) for c in attrs.get("class", "").split()))
     good = tag in ("article", "main") or role == "main" or attrs.get("itemprop", "").lower() == "articlebody"
     weight = 3.0 if good else 0.3 if tag == "body" else 1.5 if GOOD.search(names) else 1.0
     path = f"{above.path if above else ''}/{tag}{'.' if classes else ''}{classes}"
