@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat import ORACLE as CHAT_SQL
 from .common import table
+from .oracles import ORACLE_SQL  # noqa: F401  part of this module's interface
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -82,4 +82,3 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_jaccard, op2_line_dedup, op3_decontaminate, op4_audio, op5_histogram_sort, op6_chat, op7_quality, op8_bpe, op9_warc, op10_html)}
-ORACLE_SQL: dict[str, str] = {"op6_chat": CHAT_SQL}
