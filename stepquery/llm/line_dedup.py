@@ -1,16 +1,18 @@
 """Line dedup by winnowing.
 
-A line is what ends at a line break, at the end of a sentence, or behind a word whose hash says so (or LONGEST words); all but
-the first let a passage be found again that was put into the middle of another line. Every run of whole lines with at least MIN_WORDS
-words starts a window; a window's least line hash is its fingerprint, so two texts that share such a run share a
-fingerprint (guaranteed by winnowing). Fingerprints that occur once are dropped. Windows of the others are joined on the
-hash of all their words with the first position of those words. Matches extend both ways by the windows that start before and after: a run's
-neighbouring line belongs to it exactly when the window over that line matches too, so the union of matching windows is
-the longest run, and no two documents are ever paired. Every run that occurs earlier, by (id, position), is deleted.
+A line is what ends at a line break, at the end of a sentence (. ! ?), or behind a word whose hash says so (or LONGEST
+words); all but the first let a passage be found again that was put into the middle of another line. Every run of whole
+lines with at least MIN_WORDS words has a window; a window's least line hash is its fingerprint, so two texts that
+share such a run share a fingerprint (guaranteed by winnowing). Fingerprints that occur once are dropped. Windows of the
+others are joined on the hash of all their words with the first position of those words. Matches extend both ways by the
+windows that start before and after: a run's neighbouring line belongs to it exactly when the window over that line
+matches too, so the union of matching windows is the longest run, and no two documents are ever paired. Every run that
+occurs earlier, by (id, position), is deleted.
 
 Defined results: a null text stays null and matches nothing; an empty text stays empty; in a document that loses a run,
-blank lines go and lines are trimmed, and other documents keep their text unchanged; rows with the same id count as one document, so repeated rows
-stay equal; a null id is later than all others; other columns are carried along; an empty table gives no rows.
+blank lines go and lines are trimmed, and other documents keep their text unchanged; rows with the same id are at the
+same place, none is later than another, so repeated rows stay equal; a null id is later than all others; other columns
+are carried along; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,12 +22,11 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bloom
-from .common import as_strings, materialize, small_batches
+from . import bloom, words
+from .common import as_bytes, as_strings, materialize, small_batches
 
 #: Words of whole lines in a row that make a run: a passage of over 50 words has as many even without its broken ends.
 MIN_WORDS = 32
@@ -33,88 +34,79 @@ MIN_WORDS = 32
 SOFT = 8
 #: A line without any such end is cut after so many words.
 LONGEST = 24
-#: Deletions of up to so many bytes are broadcast; more are joined by a shuffle.
-BROADCAST = 32 << 20
-#: Words whose hashes a worker keeps.
-CACHE = 1_000_000
 LAST = (1 << 63) - 1
-NEWLINE, GAP = 1, 2
-
-
-class Words(dict):
-    """word -> 64-bit hash; its two low bits: ends a line; counts as no word."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > CACHE:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) & ~3
-        if word in ("\n", ""):
-            h |= GAP | (NEWLINE if word else 0)
-        elif word[-1] in ".!?" or h >> 40 & (SOFT - 1) == 0:
-            h |= NEWLINE
-        self[word] = h
-        return h
-
-
-def tokens_of(text: str) -> list[str]:
-    return text.replace("\n", " \n ").split(" ")
+BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+ENDS = np.array([chr(c) in ".!?" for c in range(256)])
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
-    """The text without the tokens of the spans."""
-    tokens, kept, at = tokens_of(text), [], 0
+    """The text without the bytes of the spans, which begin and end with words."""
+    data, kept, at = text.encode("utf-8", "surrogatepass"), [], 0
     for a, b in sorted(spans):
-        kept += tokens[at : max(at, a)]
+        kept.append(data[at : max(at, a)])
         at = max(at, b)
-    return re.sub(r" *\n[ \n]*", "\n", " ".join(kept + tokens[at:])).strip()
-
-
-def powers(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd number modulo 2^64 and their inverses."""
-    with np.errstate(over="ignore"):
-        up = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, base, np.uint64)]), dtype=np.uint64)
-        down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, pow(base, -1, 1 << 64), np.uint64)]), dtype=np.uint64)
-    return up, down
-
-
-BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
+    out = b" ".join(x for k in (*kept, data[at:]) if (x := k.strip(b" ")))
+    return re.sub(rb" *\n[ \n]*", b"\n", out).strip().decode("utf-8", "surrogatepass")
 
 
 class Windows:
-    """Makes a document's windows: token spans, fingerprints and two 64-bit hashes of all their words."""
+    """Makes the windows of several texts at once: byte spans, fingerprints and two 64-bit hashes of all their words.
+
+    A run is covered whole: for each of its lines there is the shortest window that starts with it and the shortest one
+    that ends with it.
+    """
 
     def __init__(self, least: int):
-        self.least, self.words, self.tables = least, Words(), [powers(4096, b) for b in BASES]
-
-    def of(self, text: str) -> tuple[np.ndarray, ...] | None:
-        tokens = tokens_of(text)
-        h = np.fromiter(map(self.words.__getitem__, tokens), np.uint64, len(tokens))
-        place = np.nonzero((h & np.uint64(GAP)) == 0)[0]
-        if len(place) < self.least:
-            return None
-        # words only, numbered without gaps: what stands between them does not change a hash
-        cut = np.searchsorted(place, np.nonzero(h & np.uint64(NEWLINE))[0], "right")
-        cut = np.unique(np.concatenate([[0], cut, [len(place)]]))
+        self.least, self.tables = least, [words.powers(4096, b) for b in BASES]
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """(text, first byte, end byte, fingerprint, hash, other hash), in order of text and first line."""
+        data = b"\n".join(texts)
+        offset = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        w, start, end = words.split(data)
+        if len(w) < self.least:
+            return tuple(np.zeros(0, np.int64) for _ in range(6))
+        b = np.frombuffer(data, np.uint8)
+        breaks = np.nonzero(b == 10)[0]
+        ends = ENDS[b[end - 1]] | ((w >> np.uint64(40)) & np.uint64(SOFT - 1) == 0)
+        ends[:-1] |= np.searchsorted(breaks, start[1:]) > np.searchsorted(breaks, end[:-1])  # texts are parted by one, too
+        cut = np.concatenate([[0], np.nonzero(ends[:-1])[0] + 1, [len(w)]])
         long = np.nonzero(np.diff(cut) > LONGEST)[0]
         if len(long):
             cut = np.unique(np.concatenate([cut, *(np.arange(cut[i], cut[i + 1], LONGEST) for i in long)]))
         first, last = cut[:-1], cut[1:]
+        text = np.searchsorted(offset, start[first], "right") - 1
+        n, line = len(first), np.arange(len(first))
         stop = np.searchsorted(last, first + self.least, "left")
-        ok = stop < len(first)
-        w = h[place]
+        begin = np.searchsorted(first, last - self.least, "right") - 1
+        pairs = np.concatenate([(line * n + stop)[stop < n], (begin * n + line)[begin >= 0]])
+        pairs = np.unique(pairs)
+        begin, stop = pairs // n, pairs % n
+        ok = text[begin] == text[stop]
+        begin, stop = begin[ok], stop[ok]
+        if not len(begin):
+            return tuple(np.zeros(0, np.int64) for _ in range(6))
         if len(w) >= len(self.tables[0][0]):
-            self.tables = [powers(2 * len(w), b) for b in BASES]
+            self.tables = [words.powers(2 * len(w), x) for x in BASES]
         hashes = []
-        with np.errstate(over="ignore"):
-            for k, (up, down) in enumerate(self.tables):
-                v = w * np.uint64(0xFF51AFD7ED558CCD) ^ w >> np.uint64(29) if k else w
-                upto = np.concatenate([[np.uint64(0)], np.cumsum(v * up[: len(w)], dtype=np.uint64)])
-                hashes.append(lambda a, b, upto=upto, down=down: (upto[b] - upto[a]) * down[a])
-            line = hashes[0](first, last) * np.uint64(0xC4CEB9FE1A85EC53)
-        line ^= line >> np.uint64(32)
-        begin, end = np.nonzero(ok)[0], stop[ok]
-        prints = least_between(line, begin, end + 1)
-        return place[first[begin]].astype(np.int32), (place[last[end] - 1] + 1).astype(np.int32), prints.view(np.int64), *(x(first[begin], last[end]).view(np.int64) for x in hashes)
+        for k, (up, down) in enumerate(self.tables):
+            v = (w * np.uint64(0xFF51AFD7ED558CCD)) ^ (w >> np.uint64(29)) if k else w
+            upto = np.concatenate([[np.uint64(0)], np.cumsum(v * up[: len(w)], dtype=np.uint64)])
+            hashes.append(lambda a, b, upto=upto, down=down: (upto[b] - upto[a]) * down[a])
+        own = hashes[0](first, last) * np.uint64(0xC4CEB9FE1A85EC53)
+        own ^= own >> np.uint64(32)
+        text, begin_word, end_word = text[begin], first[begin], last[stop]
+        return text, start[begin_word] - offset[text], end[end_word - 1] - offset[text], least_between(own, begin, stop + 1).view(np.int64), *(x(begin_word, end_word).view(np.int64) for x in hashes)
+
+
+def _groups(keys: list, versions: list, texts: list[bytes], size: int = 1 << 18):
+    """Rows in order, so many at a time that their texts have about `size` bytes."""
+    at, held = 0, 0
+    for k, t in enumerate(texts):
+        held += len(t)
+        if held >= size or k == len(texts) - 1:
+            yield np.array(keys[at : k + 1], np.int64), np.array(versions[at : k + 1], np.int64), texts[at : k + 1]
+            at, held = k + 1, 0
 
 
 def least_between(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -136,40 +128,54 @@ def _windows(docs: DataFrame, least: int, shared: bloom.Filter | None) -> DataFr
     def run(batches):
         made = Windows(least)
         for batch in small_batches(batches, 512):
-            out = []
-            for doc, text in zip(batch.column(0).to_pylist(), as_strings(batch.column(1)), strict=True):
-                got = made.of(text) if text else None
-                if got is None:
+            for doc, version, texts in _groups(batch.column(0).to_pylist(), batch.column(2).to_pylist(), as_bytes(batch.column(1))):
+                text, first, last, prints, h1, h2 = made.of(texts)
+                if not len(text):
                     continue
                 if shared is None:
-                    out.append((np.unique(got[2]) if len(got[2]) < 2 else got[2][np.concatenate([[True], got[2][1:] != got[2][:-1]])],))
-                elif (ok := shared.has(got[2])).any():
-                    out.append((np.full(int(ok.sum()), doc, np.int64), *(x[ok] for k, x in enumerate(got) if k != 2)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["fingerprint"] if shared is None else ["doc", "first", "last", "h1", "h2"])
+                    new = np.concatenate([[True], (prints[1:] != prints[:-1]) | (text[1:] != text[:-1])])
+                    yield pa.RecordBatch.from_arrays([pa.array(prints[new])], names=["fingerprint"])
+                elif (ok := shared.has(prints)).any():
+                    columns = doc[text[ok]], version[text[ok]], first[ok].astype(np.int32), last[ok].astype(np.int32), h1[ok], h2[ok]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "version", "first", "last", "h1", "h2"])
 
-    return docs.mapInArrow(run, "fingerprint long" if shared is None else "doc long, first int, last int, h1 long, h2 long")
+    return docs.mapInArrow(run, "fingerprint long" if shared is None else "doc long, version long, first int, last int, h1 long, h2 long")
+
+
+def place_of(key: str) -> F.Column:
+    return F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc")
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
-    """(doc, spans): the token spans of each document that lie in an earlier run, merged."""
-    plain = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.col(text).alias("text"))
+    """(doc, version, first, last): byte spans of the windows whose words occur earlier."""
+    plain = docs.select(place_of(key), F.col(text).alias("text"), F.xxhash64(text).alias("version"))
     prints = _windows(plain, least, None).groupBy("fingerprint").count().where("count > 1")
     shared = bloom.build(materialize(prints.select("fingerprint"), "fingerprints"), "fingerprint")
     windows = materialize(_windows(plain, least, shared), "windows")
     place = F.struct("doc", "first")
-    origin = windows.groupBy("h1", "h2").agg(F.min(place).alias("origin"), F.max(place).alias("latest")).where("origin < latest").drop("latest")
-    later = windows.join(origin, ["h1", "h2"]).where(place > F.col("origin"))
-    return later.groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("spans"))
+    # min by document, then by place: plain numbers fold in a hash table, and what is written can be split again when joined
+    doc = windows.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.max("doc").alias("latest"), F.count("*").alias("n")).where("n > 1")
+    origin = materialize(doc.select("h1", "h2", F.col("doc").alias("home")), "origins")
+    seen = materialize(windows.join(origin, ["h1", "h2"]), "repeats")
+    inside = seen.where("doc = home").groupBy("doc", "h1", "h2").agg(F.min("first").alias("place"))
+    again = seen.where("doc = home").join(inside, ["doc", "h1", "h2"]).where("first > place").select("doc", "version", "first", "last")
+    return seen.where("doc > home").select("doc", "version", "first", "last").unionByName(again)
+
+
+#: Sorted spans to disjoint ones.
+MERGE = """aggregate(array_sort(collect_set(struct(first, last))), cast(array() as array<struct<first: int, last: int>>),
+  (done, x) -> if(size(done) > 0 and element_at(done, -1).last >= x.first,
+    concat(slice(done, 1, size(done) - 1), array(named_struct('first', element_at(done, -1).first, 'last', greatest(element_at(done, -1).last, x.last)))),
+    concat(done, array(x))))"""
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_WORDS, broadcast: int = BROADCAST) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """`docs` with later repeated runs deleted from `text`, and `words_deleted`."""
-    runs = materialize(repeated_runs(docs, key, text, least).select("doc", F.array_sort("spans").alias("spans")), "runs")
-    size = runs.agg(F.sum(F.size("spans") * 8 + 32)).first()[0] or 0
+    runs = materialize(repeated_runs(docs, key, text, least).groupBy("doc", "version").agg(F.expr(MERGE).alias("spans")), "runs")
     names = [c for c in docs.columns if c != "words_deleted"]
     kept = docs.select(*(F.col(f"`{c}`") for c in names))
-    joined = kept.join(F.broadcast(runs) if size <= broadcast else runs, F.coalesce(F.col(key).cast("long"), F.lit(LAST)) == F.col("doc"), "left").select(*(F.col(f"`{c}`") for c in names), F.col("spans").alias("_spans"))
+    joined = kept.join(runs.hint("merge"), (place_of(key) == F.col("doc")) & (F.xxhash64(text) == F.col("version")), "left").select(*(F.col(f"`{c}`") for c in names), F.col("spans").alias("_spans"))
+    # by a shuffle whatever the size: texts move once, and costs grow evenly
     schema = kept.schema.add("words_deleted", "long")
 
     def run(batches):
