@@ -3,17 +3,19 @@
 A document's set holds the hashes of its distinct word n-grams. Equal sets are one class, found by a 128-bit digest. Two
 sets that reach the similarity share a token in their prefixes (the first |x| - ceil(t|x|) + 1 tokens) under every global
 order. Four orders are used. The first is that of the hashes themselves: sets of a similar pair share many of the first
-tokens of twice the prefix's length, so a set of which too few are found in a second set is out before anything else is
+tokens of one and a half prefixes, so a set of which too few are found in a second set is out before anything else is
 done (the shared tokens' Bloom filter lets through some more, never fewer). The others put frequent tokens last, by a
-corpus-wide count sketch, with ties by three different hashes. The second order's prefixes are the index; each of its buckets names its most central member, and all buckets with the same
-one make a family, so every pair of a bucket meets in a family. There candidates must share prefix tokens under every order before their
-overlap is counted exactly.
+corpus-wide count sketch, with ties by three different hashes. The second order's prefixes are the index; each of its
+buckets names the most central member that its members know, and all buckets with the same one make a family, so every
+pair of a bucket meets in a family. There candidates must share prefix tokens under every order before their overlap is
+counted exactly.
 
 Only links between different components are looked for: a family starts with its most central member, which joins most
 of a group of near copies at once, and pairs that are already connected are passed over. A family of more than
 FAMILY_TOKENS is dealt out in blocks that meet pairwise, so no task holds an unbounded group. No link between different
 components is lost; the work within one family of near copies that do not resemble its centre still grows with the
-square of its blocks. Components are then joined by alternating large-star and small-star steps, each written to the shared folder.
+square of its blocks. Components are then joined by alternating large-star and small-star steps, each written to the
+shared folder.
 
 Defined results: A-Z are lower-cased and words are split at ASCII white space; a text with fewer words than n is one
 shingle; a null, empty or blank text has an empty set and is linked with nothing; rows with a null id are returned with
@@ -76,7 +78,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 
 def screen_length(n: int, percent: int) -> int:
-    return min(n, 2 * prefix_length(n, percent))
+    return min(n, prefix_length(n, percent) * 3 // 2)
 
 
 def screen_least(n: int, percent: int) -> int:
@@ -129,7 +131,7 @@ def levels(scan: DataFrame) -> np.ndarray:
 
 
 def _first_tokens(plain: DataFrame, n: int, percent: int) -> DataFrame:
-    """(token) for each of the first tokens of every set, in the order of their hashes."""
+    """(token, s1) for each of the first tokens of every set, in the order of their hashes."""
 
     def run(batches):
         done = set()
@@ -139,13 +141,14 @@ def _first_tokens(plain: DataFrame, n: int, percent: int) -> DataFrame:
                 s = shingles(x, n)
                 if len(s) and (d := digest(s)) not in done:
                     done.add(d)
-                    out.append(s[: screen_length(len(s), percent)])
+                    first = s[: screen_length(len(s), percent)].view(np.int64)
+                    out.append((first, np.full(len(first), d[0])))
             if len(done) > CACHE:
                 done.clear()
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out).view(np.int64))], names=["token"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["token", "s1"])
 
-    return plain.mapInArrow(run, "token long")
+    return plain.mapInArrow(run, "token long, s1 long")
 
 
 def _index(plain: DataFrame, n: int, percent: int, level, common) -> DataFrame:
@@ -290,11 +293,15 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     level = context.broadcast(levels(scan))
     rows = scan.where("slot is null").drop("slot", "seen")
     plain = plain.where("doc is not null")
-    twice = materialize(_first_tokens(plain, words, percent).groupBy("token").count().where("count > 1").select("token"), "tokens")
+    twice = materialize(_first_tokens(plain, words, percent).groupBy("token").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).where("lo < hi").select("token"), "tokens")
     common = context.broadcast(bloom.build(twice, "token"))
     index = _index(plain, words, percent, level, common)
     shared = index.groupBy("token").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.max("rank").alias("family")).where("lo < hi").select("token", "family")
-    members = materialize(index.join(shared, "token").groupBy("family", "s1", "s2").agg(F.first("n").alias("n")), "members")
+    hits = materialize(index.select("token", "s1", "s2", "n").join(shared, "token"), "hits")
+    # buckets of one group of near copies may name several members: each takes the highest name that its members know
+    known = hits.groupBy("s1", "s2").agg(F.max("family").alias("known"))
+    bucket = materialize(hits.join(known, ["s1", "s2"]).groupBy("token").agg(F.max("known").alias("family")), "buckets")
+    members = materialize(hits.drop("family").join(bucket, "token").groupBy("family", "s1", "s2").agg(F.first("n").alias("n")), "members")
     parts = members.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY_TOKENS).cast("long").alias("blocks"))
     wanted = context.broadcast(bloom.build(members.select("s1").distinct(), "s1"))
     placed = members.join(parts, "family").withColumn("block", F.pmod("s2", "blocks").cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
