@@ -96,7 +96,8 @@ class Windows:
         own = hashes[0](first, last) * np.uint64(0xC4CEB9FE1A85EC53)
         own ^= own >> np.uint64(32)
         text, begin_word, end_word = text[begin], first[begin], last[stop]
-        return text, start[begin_word] - offset[text], end[end_word - 1] - offset[text], least_between(own, begin, stop + 1).view(np.int64), *(x(begin_word, end_word).view(np.int64) for x in hashes)
+        self.at = least_at(own, begin, stop + 1)
+        return text, start[begin_word] - offset[text], end[end_word - 1] - offset[text], own[self.at].view(np.int64), *(x(begin_word, end_word).view(np.int64) for x in hashes)
 
 
 def _groups(keys: list, versions: list, texts: list[bytes], size: int = 1 << 18):
@@ -122,8 +123,16 @@ def least_between(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def least_at(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Place of the leftmost minimum of each x[a:b]."""
+    order = np.lexsort((np.arange(len(x)), x))
+    rank = np.empty(len(x), np.int64)
+    rank[order] = np.arange(len(x))
+    return order[least_between(rank, a, b)]
+
+
 def _windows(docs: DataFrame, least: int, shared: bloom.Filter | None) -> DataFrame:
-    """Fingerprints (one row for each change along a document) or, with `shared`, the windows that have one of those."""
+    """Fingerprints (one row for each line selected, also where the next one has the same hash) or, with `shared`, the windows that have one of those."""
 
     def run(batches):
         made = Windows(least)
@@ -133,7 +142,7 @@ def _windows(docs: DataFrame, least: int, shared: bloom.Filter | None) -> DataFr
                 if not len(text):
                     continue
                 if shared is None:
-                    new = np.concatenate([[True], (prints[1:] != prints[:-1]) | (text[1:] != text[:-1])])
+                    new = np.concatenate([[True], made.at[1:] != made.at[:-1]])
                     yield pa.RecordBatch.from_arrays([pa.array(prints[new])], names=["fingerprint"])
                 elif (ok := shared.has(prints)).any():
                     columns = doc[text[ok]], version[text[ok]], first[ok].astype(np.int32), last[ok].astype(np.int32), h1[ok], h2[ok]

@@ -217,3 +217,13 @@ def test_no_benchmark_finds_nothing(spark):
     df = frame(spark, [(1, "text of some words")])
     assert decontaminate.find(df, spark.createDataFrame([], "item_id long, text string")).columns == ["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap"]
     assert decontaminate.clean(df, spark.createDataFrame([(1, None)], "item_id long, text string")).count() == 1
+
+
+# -- runs that repeat inside one document -----------------------------------------------------------------------------
+def test_a_block_repeated_in_one_document_only(spark):
+    block = prose(31, 20)
+    rows = [(1, " ".join([block] * 12)), (2, prose(32, 90)), (3, prose(33, 40) + " " + "\n".join([prose(34, 9)] * 15) + " " + prose(35, 40))]
+    by = {r.doc_id: r for r in line_dedup.dedup(frame(spark, rows)).collect()}
+    assert by[1].words_deleted >= 180 and by[1].text.startswith(block)
+    assert by[2].words_deleted == 0 and by[3].words_deleted >= 60
+    assert by[3].text.startswith(rows[2][1][:80]) and by[3].text.endswith(rows[2][1][-80:])
