@@ -1,13 +1,14 @@
-"""Line dedup by winnowing.
+"""Dedup of repeated runs by winnowing.
 
-A line is what ends at a line break, at the end of a sentence (. ! ?), or behind a word whose hash says so (or LONGEST
-words); all but the first let a passage be found again that was put into the middle of another line. Every run of whole
-lines with at least MIN_WORDS words has a window; a window's least line hash is its fingerprint, so two texts that
-share such a run share a fingerprint (guaranteed by winnowing). Fingerprints that occur once are dropped. Windows of the
-others are joined on the hash of all their words with the first position of those words. Matches extend both ways by the
-windows that start before and after: a run's neighbouring line belongs to it exactly when the window over that line
-matches too, so the union of matching windows is the longest run, and no two documents are ever paired. Every run that
-occurs earlier, by (id, position), is deleted.
+Every run of at least MIN_WORDS words that occurs earlier, by (id, position), is deleted, wherever in a line it begins and
+ends: a word goes exactly when one of the windows of MIN_WORDS words around it has the same words as an earlier window.
+
+Windows are not joined one by one. Each selects a seed, the leftmost of its SEED-word hashes that is least, so equal
+windows select the same seed at the same place in them (winnowing). Windows in a row that select one seed make a span. Seeds
+selected once are dropped. The spans of the others are joined on the hash of all their words with the first position of
+those words: a span that occurs earlier goes whole, and so do its windows. A window can also occur earlier in another span,
+one with the same seed and other words at its ends; so where a seed has several spans, the windows of each span's first
+occurrence are joined in the same way. No two documents are ever paired.
 
 Defined results: a null text stays null and matches nothing; an empty text stays empty; in a document that loses a run,
 blank lines go and lines are trimmed, and other documents keep their text unchanged; rows with the same id are at the
@@ -28,15 +29,12 @@ from pyspark.sql import functions as F
 from . import bloom, words
 from .common import as_bytes, as_strings, materialize, small_batches
 
-#: Words of whole lines in a row that make a run: a passage of over 50 words has as many even without its broken ends.
+#: Words in a row that make a run.
 MIN_WORDS = 32
-#: One word in so many ends a line whatever it is.
-SOFT = 8
-#: A line without any such end is cut after so many words.
-LONGEST = 24
+#: Words of a seed are so many eighths of a window's.
+SEED = 3
 LAST = (1 << 63) - 1
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
-ENDS = np.array([chr(c) in ".!?" for c in range(256)])
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:
@@ -49,55 +47,69 @@ def without(text: str, spans: list[tuple[int, int]]) -> str:
     return re.sub(rb" *\n[ \n]*", b"\n", out).strip().decode("utf-8", "surrogatepass")
 
 
-class Windows:
-    """Makes the windows of several texts at once: byte spans, fingerprints and two 64-bit hashes of all their words.
+def bytes_of(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Byte spans of spans of words."""
+    gap = np.concatenate([[True], words.SPACE[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)], [True]])
+    edge = np.nonzero(gap[1:] != gap[:-1])[0]
+    return [(int(edge[2 * a]), int(edge[2 * b - 1])) for a, b in spans]
 
-    A run is covered whole: for each of its lines there is the shortest window that starts with it and the shortest one
-    that ends with it.
-    """
+
+class Windows:
+    """Makes the windows of several texts at once, and the spans of those that select the same seed."""
 
     def __init__(self, least: int):
-        self.least, self.tables = least, [words.powers(4096, b) for b in BASES]
+        self.least, self.seed, self.tables = least, max(1, least * SEED // 8), [words.powers(4096, b) for b in BASES]
 
-    def of(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """(text, first byte, end byte, fingerprint, hash, other hash), in order of text and first line."""
+    def read(self, texts: list[bytes]) -> bool:
+        """Hashes the texts and finds their windows; False if there are none."""
         data = b"\n".join(texts)
-        offset = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-        w, start, end = words.split(data)
+        self.offset = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
+        self.word, self.start, self.end = words.split(data)
+        w, self.sums = self.word, {}
         if len(w) < self.least:
-            return tuple(np.zeros(0, np.int64) for _ in range(6))
-        b = np.frombuffer(data, np.uint8)
-        breaks = np.nonzero(b == 10)[0]
-        ends = ENDS[b[end - 1]] | ((w >> np.uint64(40)) & np.uint64(SOFT - 1) == 0)
-        ends[:-1] |= np.searchsorted(breaks, start[1:]) > np.searchsorted(breaks, end[:-1])  # texts are parted by one, too
-        cut = np.concatenate([[0], np.nonzero(ends[:-1])[0] + 1, [len(w)]])
-        long = np.nonzero(np.diff(cut) > LONGEST)[0]
-        if len(long):
-            cut = np.unique(np.concatenate([cut, *(np.arange(cut[i], cut[i + 1], LONGEST) for i in long)]))
-        first, last = cut[:-1], cut[1:]
-        text = np.searchsorted(offset, start[first], "right") - 1
-        n, line = len(first), np.arange(len(first))
-        stop = np.searchsorted(last, first + self.least, "left")
-        begin = np.searchsorted(first, last - self.least, "right") - 1
-        pairs = np.concatenate([(line * n + stop)[stop < n], (begin * n + line)[begin >= 0]])
-        pairs = np.unique(pairs)
-        begin, stop = pairs // n, pairs % n
-        ok = text[begin] == text[stop]
-        begin, stop = begin[ok], stop[ok]
+            return False
+        self.base = np.searchsorted(self.start, self.offset)  # each text's first word
+        text = np.searchsorted(self.base, np.arange(len(w)), "right") - 1
+        begin = np.nonzero(text[: len(w) - self.least + 1] == text[self.least - 1 :])[0]
         if not len(begin):
-            return tuple(np.zeros(0, np.int64) for _ in range(6))
+            return False
         if len(w) >= len(self.tables[0][0]):
             self.tables = [words.powers(2 * len(w), x) for x in BASES]
-        hashes = []
-        for k, (up, down) in enumerate(self.tables):
-            v = (w * np.uint64(0xFF51AFD7ED558CCD)) ^ (w >> np.uint64(29)) if k else w
-            upto = np.concatenate([[np.uint64(0)], np.cumsum(v * up[: len(w)], dtype=np.uint64)])
-            hashes.append(lambda a, b, upto=upto, down=down: (upto[b] - upto[a]) * down[a])
-        own = hashes[0](first, last) * np.uint64(0xC4CEB9FE1A85EC53)
-        own ^= own >> np.uint64(32)
-        text, begin_word, end_word = text[begin], first[begin], last[stop]
-        self.at = least_at(own, begin, stop + 1)
-        return text, start[begin_word] - offset[text], end[end_word - 1] - offset[text], own[self.at].view(np.int64), *(x(begin_word, end_word).view(np.int64) for x in hashes)
+        at = np.arange(len(w) - self.seed + 1)
+        seeds = self.hash(0, at, at + self.seed) * np.uint64(0xC4CEB9FE1A85EC53)
+        seeds ^= seeds >> np.uint64(32)
+        self.begin, self.text, self.at = begin, text[begin], least_at(seeds, self.least - self.seed + 1)[begin]
+        self.prints = seeds[self.at].view(np.int64)
+        return True
+
+    def hash(self, k: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Hash k of the words a to b."""
+        up, down = self.tables[k]
+        if k not in self.sums:
+            v = (self.word * np.uint64(0xFF51AFD7ED558CCD)) ^ (self.word >> np.uint64(29)) if k else self.word
+            self.sums[k] = np.concatenate([[np.uint64(0)], np.cumsum(v * up[: len(v)], dtype=np.uint64)])
+        return (self.sums[k][b] - self.sums[k][a]) * down[a]
+
+    def runs(self, a: np.ndarray, b: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(first word, end word, hash, other hash): words counted within their text."""
+        return a - self.base[text], b - self.base[text], self.hash(0, a, b).view(np.int64), self.hash(1, a, b).view(np.int64)
+
+    def selected(self) -> np.ndarray:
+        """The first window of each span."""
+        return np.nonzero(np.concatenate([[True], self.at[1:] != self.at[:-1]]))[0]
+
+    def spans(self, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Spans that start with these windows, of all `selected` ones, as `runs`."""
+        last = np.concatenate([first[1:], [len(self.begin)]]) - 1
+        return self.runs(self.begin[first], self.begin[last] + self.least, self.text[first])
+
+    def of(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """(text, first byte, end byte, fingerprint, hash, other hash) of every window, in order of text and first word."""
+        if not self.read(texts):
+            return tuple(np.zeros(0, np.int64) for _ in range(6))
+        stop = self.begin + self.least
+        _, _, h1, h2 = self.runs(self.begin, stop, self.text)
+        return self.text, self.start[self.begin] - self.offset[self.text], self.end[stop - 1] - self.offset[self.text], self.prints, h1, h2
 
 
 def _groups(keys: list, versions: list, texts: list[bytes], size: int = 1 << 18):
@@ -123,64 +135,120 @@ def least_between(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def least_at(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Place of the leftmost minimum of each x[a:b]."""
-    order = np.lexsort((np.arange(len(x)), x))
-    rank = np.empty(len(x), np.int64)
-    rank[order] = np.arange(len(x))
-    return order[least_between(rank, a, b)]
+def least_at(x: np.ndarray, width: int) -> np.ndarray:
+    """Place of the leftmost minimum of each x[i : i + width]."""
+    at, k = np.arange(len(x)), 1
+    while k < width:
+        step = min(k, width - k)
+        left, right = at[:-step], at[step:]
+        at = np.where(x[left] <= x[right], left, right)
+        k += step
+    return at
+
 
+RUN = "doc long, version long, first int, last int, h1 long, h2 long"
 
-def _windows(docs: DataFrame, least: int, shared: bloom.Filter | None) -> DataFrame:
-    """Fingerprints (one row for each line selected, also where the next one has the same hash) or, with `shared`, the windows that have one of those."""
+
+def _scan(docs: DataFrame, least: int, schema: str, rows) -> DataFrame:
+    """The columns that `rows` makes of the windows of each group of texts."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         made = Windows(least)
         for batch in small_batches(batches, 512):
             for doc, version, texts in _groups(batch.column(0).to_pylist(), batch.column(2).to_pylist(), as_bytes(batch.column(1))):
-                text, first, last, prints, h1, h2 = made.of(texts)
-                if not len(text):
-                    continue
-                if shared is None:
-                    new = np.concatenate([[True], made.at[1:] != made.at[:-1]])
-                    yield pa.RecordBatch.from_arrays([pa.array(prints[new])], names=["fingerprint"])
-                elif (ok := shared.has(prints)).any():
-                    columns = doc[text[ok]], version[text[ok]], first[ok].astype(np.int32), last[ok].astype(np.int32), h1[ok], h2[ok]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["doc", "version", "first", "last", "h1", "h2"])
+                if made.read(texts):
+                    columns = rows(made, doc, version)
+                    if len(columns[0]):
+                        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32) if n in ("first", "last") else c) for c, n in zip(columns, names, strict=True)], names=names)
+
+    return docs.mapInArrow(run, schema)
+
 
-    return docs.mapInArrow(run, "fingerprint long" if shared is None else "doc long, version long, first int, last int, h1 long, h2 long")
+def _prints(made: Windows, doc: np.ndarray, version: np.ndarray) -> tuple[np.ndarray, ...]:
+    """One fingerprint for each seed selected."""
+    return (made.prints[made.selected()],)
+
+
+def _spans(shared: bloom.Filter):
+    """Spans whose fingerprint is among `shared`."""
+
+    def rows(made, doc, version):
+        first = made.selected()
+        ok, text = shared.has(made.prints[first]), made.text[first]
+        return tuple(c[ok] for c in (doc[text], version[text], *made.spans(first), made.prints[first]))
+
+    return rows
+
+
+def _windows(chosen: bloom.Filter):
+    """Windows of the spans whose first hash and document are among `chosen`."""
+
+    def rows(made, doc, version):
+        first = made.selected()
+        ok = chosen.has(made.spans(first)[2] ^ doc[made.text[first]])
+        k = np.nonzero(np.repeat(ok, np.diff(np.concatenate([first, [len(made.begin)]]))))[0]
+        text, begin = made.text[k], made.begin[k]
+        return doc[text], version[text], *made.runs(begin, begin + made.least, text)
+
+    return rows
 
 
 def place_of(key: str) -> F.Column:
     return F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc")
 
 
-def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
-    """(doc, version, first, last): byte spans of the windows whose words occur earlier."""
-    plain = docs.select(place_of(key), F.col(text).alias("text"), F.xxhash64(text).alias("version"))
-    prints = _windows(plain, least, None).groupBy("fingerprint").count().where("count > 1")
-    shared = bloom.build(materialize(prints.select("fingerprint"), "fingerprints"), "fingerprint")
-    windows = materialize(_windows(plain, least, shared), "windows")
-    place = F.struct("doc", "first")
+def _later(runs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(doc, version, first, last) of the runs whose words occur earlier. groups: (h1, h2, home, n), home the smallest document."""
     # min by document, then by place: plain numbers fold in a hash table, and what is written can be split again when joined
-    doc = windows.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.max("doc").alias("latest"), F.count("*").alias("n")).where("n > 1")
-    origin = materialize(doc.select("h1", "h2", F.col("doc").alias("home")), "origins")
-    seen = materialize(windows.join(origin, ["h1", "h2"]), "repeats")
+    origin = materialize(groups.where("n > 1").select("h1", "h2", "home"), "origins")
+    seen = materialize(runs.join(origin, ["h1", "h2"]), "repeats")
     inside = seen.where("doc = home").groupBy("doc", "h1", "h2").agg(F.min("first").alias("place"))
     again = seen.where("doc = home").join(inside, ["doc", "h1", "h2"]).where("first > place").select("doc", "version", "first", "last")
     return seen.where("doc > home").select("doc", "version", "first", "last").unionByName(again)
 
 
-#: Sorted spans to disjoint ones.
-MERGE = """aggregate(array_sort(collect_set(struct(first, last))), cast(array() as array<struct<first: int, last: int>>),
-  (done, x) -> if(size(done) > 0 and element_at(done, -1).last >= x.first,
-    concat(slice(done, 1, size(done) - 1), array(named_struct('first', element_at(done, -1).first, 'last', greatest(element_at(done, -1).last, x.last)))),
-    concat(done, array(x))))"""
+def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
+    """(doc, version, first, last): spans of words that occur earlier."""
+    plain = docs.select(place_of(key), F.col(text).alias("text"), F.xxhash64(text).alias("version"))
+    prints = _scan(plain, least, "print long", _prints).groupBy("print").count().where("count > 1")
+    shared = bloom.build(materialize(prints.select("print"), "fingerprints"), "print")
+    spans = materialize(_scan(plain, least, RUN + ", print long", _spans(shared)), "spans")
+    home = F.min("doc").alias("home"), F.count("*").alias("n")
+    groups = materialize(spans.groupBy("h1", "h2").agg(*home, F.max("print").alias("print")), "groups")
+    several = groups.groupBy("print").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("print")
+    chosen = bloom.build(materialize(groups.join(several, "print").select(F.col("h1").bitwiseXOR(F.col("home")).alias("key")), "chosen"), "key")
+    windows = materialize(_scan(plain, least, RUN, _windows(chosen)), "windows")
+    return _later(spans.drop("print"), groups).unionByName(_later(windows, windows.groupBy("h1", "h2").agg(*home)))
+
+
+def _merged(runs: DataFrame) -> DataFrame:
+    """(doc, version, spans): disjoint spans in order, each as first word times 2^32 plus end word."""
+    packed = F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("last").cast("long"))
+    sets = runs.groupBy("doc", "version").agg(F.collect_set(packed).alias("spans"))
+
+    def run(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column(2)
+            flat, row = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            order = np.lexsort((flat, row))
+            flat, row = flat[order], row[order]
+            first, last = flat >> 32, flat & 0xFFFFFFFF
+            reach = np.maximum.accumulate(last + (row << 32)) - (row << 32)  # of the spans so far, in one row
+            new = np.concatenate([[True], (row[1:] != row[:-1]) | (first[1:] > reach[:-1])])
+            at = np.nonzero(new)[0]
+            spans = first[at] << 32 | reach[np.concatenate([at[1:], [len(row)]]) - 1]
+            offsets = np.searchsorted(row[at], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, spans)], names=["doc", "version", "spans"])
+
+    return sets.mapInArrow(run, "doc long, version long, spans array<long>")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """`docs` with later repeated runs deleted from `text`, and `words_deleted`."""
-    runs = materialize(repeated_runs(docs, key, text, least).groupBy("doc", "version").agg(F.expr(MERGE).alias("spans")), "runs")
+    runs = materialize(_merged(repeated_runs(docs, key, text, least)), "runs")
     names = [c for c in docs.columns if c != "words_deleted"]
     kept = docs.select(*(F.col(f"`{c}`") for c in names))
     joined = kept.join(runs.hint("merge"), (place_of(key) == F.col("doc")) & (F.xxhash64(text) == F.col("version")), "left").select(*(F.col(f"`{c}`") for c in names), F.col("spans").alias("_spans"))
@@ -197,7 +265,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int =
                     texts = as_strings(batch.column(text)) if texts is None else texts
                     if texts[i] is None:
                         continue
-                    shorter = without(texts[i], [(x["first"], x["last"]) for x in s])
+                    shorter = without(texts[i], bytes_of(texts[i], [(x >> 32, x & 0xFFFFFFFF) for x in s]))
                     gone[i] = len(texts[i].split()) - len(shorter.split())
                     texts[i] = shorter
             if texts is not None:

@@ -227,3 +227,42 @@ def test_a_block_repeated_in_one_document_only(spark):
     assert by[1].words_deleted >= 180 and by[1].text.startswith(block)
     assert by[2].words_deleted == 0 and by[3].words_deleted >= 60
     assert by[3].text.startswith(rows[2][1][:80]) and by[3].text.endswith(rows[2][1][-80:])
+
+
+def brute_runs(rows, least=32):
+    """Words that are left of each row, and how many go: every run of at least `least` words that occurs earlier by (id, position)."""
+    at, split = {}, [(t or "").encode().split() for _, t in rows]
+    place = [(i is None, i or 0) for i, _ in rows]
+    for p, w in zip(place, split, strict=True):
+        for j in range(len(w) - least + 1):
+            k = tuple(w[j : j + least])
+            at[k] = min(at.get(k, (p, j)), (p, j))
+    out = []
+    for p, w in zip(place, split, strict=True):
+        gone = {j + d for j in range(len(w) - least + 1) if at[tuple(w[j : j + least])] < (p, j) for d in range(least)}
+        out.append((*p, b" ".join(x for j, x in enumerate(w) if j not in gone).decode(), len(gone)))
+    return sorted(out)
+
+
+def cut_corpus():
+    """Passages of 30 to 70 words in the middle of lines, twice in a text, back to back, and inside copies with edits."""
+    r, rows = random.Random(5), []
+    for k, n in enumerate((30, 31, 32, 33, 40, 51, 51, 51, 51, 55, 60, 70)):
+        for j in range(3):
+            rows.append((10 * k + j, spread(prose(700 + k, n), prose(800 + 10 * k + j, 150), r.randrange(150))))
+    base = prose(61, 400)
+    rows += [(200 + i, near(base, i, 3 * i)) for i in range(8)] + [(220 + i, base) for i in range(2)]
+    rows += [(230, " ".join([prose(62, 7)] * 30)), (231, "\n".join([prose(63, 45)] * 3)), (232, "go " * 80 + "stop"), (233, " ".join(["tick", "tock"] * 60))]
+    rows += [(234, spread(prose(64, 51), spread(prose(64, 51), prose(65, 90), 70), 20)), (235, prose(66, 200) + "\n\n" + prose(67, 50)), (236, prose(67, 50) + "  " + prose(66, 200).replace(" ", "  "))]
+    return rows + [(None, prose(68, 60)), (240, prose(68, 60)), *ODD]
+
+
+def test_lines_equal_brute_force(spark):
+    rows = cut_corpus()
+    want = brute_runs(rows)
+    for parts in (1, 7):
+        out = line_dedup.dedup(frame(spark, rows).repartition(parts)).collect()
+        got = sorted((r.doc_id is None, r.doc_id or 0, " ".join(x.decode() for x in (r.text or "").encode().split()), r.words_deleted) for r in out)
+        assert got == want
+    by = {r[1]: r for r in want}
+    assert all(by[10 * k + 1][3] >= 51 for k in range(5, 12)) and by[230][3] > 150 and by[0][3] == by[1][3] == 0
