@@ -30,20 +30,23 @@ from .common import as_strings, materialize, small_batches
 
 #: Winning paths of up to so many bytes are broadcast; more are joined by a shuffle.
 BROADCAST = 16 << 20
-RAW = "script|style|noscript|template|textarea|iframe|svg|math|canvas|audio|video|object|select|xmp|noembed|noframes|title"
-TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
+#: Elements whose content is no markup. Without an end tag the first four run to the end of the page, the others are empty.
+RAW = "script style textarea title iframe noscript xmp noembed noframes".split()
+TO_THE_END = set(RAW[:4])
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/]+)", re.S)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("svg math canvas audio video object select template a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 CONTAINERS = set("article main section div td body center blockquote".split())
 CLOSES_P = set("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: What an open element of this name is closed by when one of these starts inside it.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-SCOPE = set("article aside body details div dl fieldset footer form header html main nav ol section table td th ul".split())
-DROPPED = set("nav header footer aside form button dialog menu head input fieldset".split())
+SCOPE = set("article aside body details div dl fieldset footer form header html main nav object ol section select table td template th ul".split())
+#: Drawings and formulas end where one of these starts, unless it stands in a part of them that holds markup.
+FOREIGN, HOLDS_MARKUP = {"svg", "math"}, set("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+LEAVES_FOREIGN = CLOSES_P | set("b big body br code dd dt em embed head i img li meta ruby s small span strike strong sub sup tt u var".split())
+DROPPED = set("nav header footer aside form button dialog menu head input fieldset template svg math canvas audio video object select".split())
 ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 NAMES = re.compile(
     r"(?:^|[-_\s])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|cookies?|consent|gdpr|notices?|newsletter|subscribe|subscription|popup|modal|overlay|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|commentlist|respond|disqus|related|recommended|share|sharing|social|widget|pagination|pager|toolbar|login|signup|search)(?:$|[-_\s\d])",
@@ -106,7 +109,7 @@ def parse(html: str) -> Page:
         while len(stack) > depth:
             n = nodes[stack.pop()]
             n.end = len(nodes)
-            if n.tag not in INLINE:
+            if n.tag not in INLINE and not nodes[n.parent].dropped:
                 pieces.append((-1, ""))
 
     def say(text: str) -> None:
@@ -123,13 +126,14 @@ def parse(html: str) -> Page:
                 return None
         return None
 
-    for m in TOKEN.finditer(html):
+    unclosed: set[str] = set()
+    while m := TOKEN.search(html, at):
         say(html[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if not tag:
             continue
-        tag = tag.lower()
+        tag, gone = tag.lower(), nodes[stack[-1]].dropped
         if m["end"]:
             depth = next((d for d in range(len(stack) - 1, 0, -1) if nodes[stack[d]].tag == tag), None)
             if depth is not None:
@@ -137,8 +141,22 @@ def parse(html: str) -> Page:
             continue
         if tag == "html":
             continue
+        foreign = next((d for d in range(len(stack) - 1, 0, -1) if nodes[stack[d]].tag in FOREIGN or nodes[stack[d]].tag in HOLDS_MARKUP), None) if gone else None
+        if foreign is not None and nodes[stack[foreign]].tag in HOLDS_MARKUP:
+            foreign = None
+        if foreign is not None and tag in LEAVES_FOREIGN:
+            close(foreign)
+            gone, foreign = nodes[stack[-1]].dropped, None
+        if tag in RAW_END and foreign is None:
+            end = None if tag in unclosed else RAW_END[tag].search(html, at)
+            if end:
+                at = end.end()
+            else:
+                unclosed.add(tag)
+                at = len(html) if tag in TO_THE_END else at
+            continue
         if tag in VOID:
-            if tag not in INLINE:
+            if tag not in INLINE and not gone:
                 pieces.append((-1, ""))
             continue
         if tag in CLOSES_P and (d := innermost({"p"})) is not None:
@@ -148,10 +166,11 @@ def parse(html: str) -> Page:
                 close(d)
         if tag == "body":
             close(1)
-        if tag not in INLINE:
+        gone = nodes[stack[-1]].dropped
+        if tag not in INLINE and not gone:
             pieces.append((-1, ""))
         attrs = m["attrs"]
-        nodes.append(node(tag, attributes(attrs), stack[-1], nodes[stack[-1]]))
+        nodes.append(node(tag, {} if gone else attributes(attrs), stack[-1], nodes[stack[-1]]))
         if not attrs.endswith("/"):
             stack.append(len(nodes) - 1)
         else:

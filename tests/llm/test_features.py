@@ -141,6 +141,26 @@ def test_extract():
     assert html.extract("<script>x", None) == html.extract("<nav>only</nav>", None) == ""
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<article><p>one</p><video-player></video-player><svg-icon name=a></svg-icon><p>two</p></article>", "one two"),
+        ("<main><title-bar>bar</title-bar><p>two</p><select-menu><p>three</p></select-menu></main>", "bar two three"),
+        ("<p>a<svg/>b</p><p>c<math/></p><p>d</p>", "ab c d"),
+        ("<article><p>one<video src=x></p><p>two</p></article>", "one two"),
+        ("<article><p>one<svg><path d=1><p>two</p></article>", "one two"),
+        ("<article><ul><li>a<audio src=x><li>b</ul><div><select><option>no</div><p>c</p></article>", "a b c"),
+        ("<article><p>one</p><iframe src=x><p>two</p></article>", "one two"),
+        ("<div><object data=x>no</div><p>two</p>", "two"),
+        ("<p>a<svg><title/><style>p>q{}</style><path d=1 /><text>no</text></svg>b<canvas>no</canvas>c</p>", "abc"),
+        ("<p>a</p><svg><foreignObject><div>no</div></foreignObject></svg><template><p>no</p></template><p>b<script>x</SCRIPT >c</p>", "a bc"),
+        ("<p>a</p><noscript><p>no</p></noscript><textarea>no</p>", "a"),
+    ],
+)
+def test_dropped_elements_end(page, text):
+    assert html.extract(page, None) == text
+
+
 def test_consensus(spark):
     pages = [(i, "http://Host.example:80/a", PAGE % i) for i in range(6)]
     # alone, the other box would win on this page; its host knows better
