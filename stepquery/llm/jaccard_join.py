@@ -307,12 +307,17 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     placed = members.join(parts, "family").withColumn("block", F.pmod("s2", "blocks").cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     families = placed.select("family", "s1", "s2", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(_sets(plain, words, wanted), ["s1", "s2"])
     found = materialize(_verify(families, level, percent).distinct(), "links")
-    classes = materialize(rows.where("doc is not null and s1 is not null").groupBy("s1", "s2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")), "classes")
+    classes = materialize(rows.where("doc is not null and s1 is not null").groupBy("s1", "s2").agg(F.min("doc").alias("first")), "classes")
     named = classes.select("s1", "s2", "first")
     ends = found.join(named.toDF("a1", "a2", "a"), ["a1", "a2"]).join(named.toDF("b1", "b2", "b"), ["b1", "b2"]).select("a", "b")
-    roots = connected(ends)
+    # rows of one id that have different texts link the classes of those
+    several = rows.where("doc is not null").groupBy("doc").agg(*(f(F.coalesce(c, F.lit(0))).alias(n) for f, c, n in ((F.min, "s1", "lo1"), (F.max, "s1", "hi1"), (F.min, "s2", "lo2"), (F.max, "s2", "hi2")))).where("lo1 < hi1 or lo2 < hi2").select("doc")
+    same = rows.where("s1 is not null").select("doc", "s1", "s2").join(several, "doc").join(named, ["s1", "s2"]).select(F.col("first").alias("a"), F.col("doc").alias("b"))
+    roots = connected(ends.unionByName(same))
     of = classes.join(roots, classes["first"] == roots["node"], "left").select("s1", "s2", F.coalesce("root", "first").alias("component_id"))
-    joined = rows.join(of, ["s1", "s2"], "left")
+    joined = rows.where("s1 is not null").join(of, ["s1", "s2"], "left").select("doc", "n", "component_id")
+    empty = rows.where("s1 is null").join(roots, F.col("doc") == F.col("node"), "left").select("doc", "n", F.col("root").alias("component_id"))
+    joined = joined.unionByName(empty)
     alone = F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc"))
     return joined.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), alone.alias("component_id"))
 

@@ -73,6 +73,16 @@ def test_keep_one(spark, corpus):
     assert sorted(i for i in ids if i is not None) == sorted(want) and ids.count(None) == 1
 
 
+def test_an_id_with_several_texts_links_them(spark):
+    a, b, c, d = (prose(40 + k, 60) for k in range(4))
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, c), (5, c), (5, ""), (5, d), (6, d), (7, ""), (7, None), (8, prose(45, 60))]
+    df = frame(spark, rows)
+    got = jaccard_join.components(df).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 4, 85)
+    assert {r.doc_id: r.component_id for r in got} == {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8}
+    assert sorted(r.doc_id for r in jaccard_join.keep_one(df).collect()) == [1, 4, 7, 8]
+
+
 def test_empty_tables(spark):
     none = frame(spark, [])
     assert jaccard_join.components(none).count() == 0 and jaccard_join.keep_one(none).count() == 0
