@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_strings, small_batches
+from .common import as_strings, materialize, small_batches
 
 #: BM25's constants, and the share of an item's own score that retrieves it.
 K1, B, SHARE = 1.2, 0.75, 0.5
@@ -40,7 +40,8 @@ SHINGLE, OVERLAP = 5, 0.8
 BLOCK = 32
 #: Half a passage in words, at least.
 HALF = 64
-#: Bytes of items that are indexed and broadcast at once; a larger benchmark is worked through part by part.
+#: Bytes of items that are indexed and broadcast at once; a larger benchmark is worked through part by part, with the
+#: document frequencies, mean length and longest item of the whole.
 PART_BYTES = 16 << 20
 TABLE = bytes(32 if chr(c) in string.punctuation or c < 33 else c for c in range(256))
 
@@ -83,13 +84,24 @@ class Index:
     half: int
 
 
-def index(items: list[tuple[object, str]]) -> Index:
+@dataclass(frozen=True)
+class Whole:
+    """Figures of a whole benchmark, for an index of a part of it."""
+
+    items: int
+    mean: float  # words of an item
+    longest: int
+    df: dict[bytes, int]  # of the part's words: items of the whole that have them
+
+
+def index(items: list[tuple[object, str]], whole: Whole | None = None) -> Index:
     bags = [Counter(words_of(t or "")) for _, t in items]
-    df = Counter(w for b in bags for w in b)
+    df = whole.df if whole else Counter(w for b in bags for w in b)
     terms = {w: i for i, w in enumerate(sorted(df))}
     length = np.array([sum(b.values()) for b in bags])
-    mean = max(1.0, float(length.mean())) if len(bags) else 1.0
-    idf = {w: float(np.log(1 + (len(bags) - n + 0.5) / (n + 0.5))) for w, n in df.items()}
+    mean = max(1.0, whole.mean if whole else float(length.mean()) if len(bags) else 0.0)
+    count = whole.items if whole else len(bags)
+    idf = {w: float(np.log(1 + (count - n + 0.5) / (n + 0.5))) for w, n in df.items()}
     own = [{terms[w]: idf[w] * n * (K1 + 1) / (n + K1 * (1 - B + B * l / mean)) for w, n in b.items()} for b, l in zip(bags, length, strict=True)]
     least = np.array([SHARE * sum(o.values()) for o in own])
     frequency = {terms[w]: n for w, n in df.items()}
@@ -110,7 +122,7 @@ def index(items: list[tuple[object, str]]) -> Index:
         for i, x in ps:
             block[t, i // BLOCK] = max(block[t, i // BLOCK], x)
     question = [tuple(shingles(words_of(p)) for p in parts(t or "")) for _, t in items]
-    return Index([i for i, _ in items], terms, own, least, skipped, np.cumsum([0, *map(len, looked)]), np.array([p[0] for p in flat], np.int64), np.array([p[1] for p in flat]), block, question, max(HALF, int(length.max(initial=0))))
+    return Index([i for i, _ in items], terms, own, least, skipped, np.cumsum([0, *map(len, looked)]), np.array([p[0] for p in flat], np.int64), np.array([p[1] for p in flat]), block, question, max(HALF, whole.longest if whole else int(length.max(initial=0))))
 
 
 def _score(own: dict[int, float], passage: np.ndarray) -> float:
@@ -182,9 +194,39 @@ def _indexes(benchmark: DataFrame, item: str, text: str, part_bytes: int):
     rows = benchmark.select(F.col(item).alias("id"), F.col(text).alias("text")).distinct()
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-size // part_bytes)
+    whole = _whole(rows, n) if n > 1 else lambda k: None
     for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield benchmark.sparkSession.sparkContext.broadcast(index([(r["id"], r["text"]) for r in part.orderBy("id", "text").collect()]))
+        part = rows.where(_part(n) == k) if n > 1 else rows
+        items = [(r["id"], r["text"]) for r in part.orderBy("id", "text").collect()]
+        if items:
+            yield benchmark.sparkSession.sparkContext.broadcast(index(items, whole(k)))
+
+
+def _part(n: int):
+    return F.pmod(F.xxhash64("id", "text"), F.lit(n))
+
+
+def _whole(rows: DataFrame, n: int):
+    """Each part's view of the whole benchmark; the driver holds the words of one part at a time."""
+
+    def run(batches):
+        for batch in small_batches(batches, 512):
+            bags = [Counter(words_of(t or "")) for t in as_strings(batch.column(1))]
+            part = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), [len(b) + 1 for b in bags])
+            # a null word has the item's length
+            word, times = [w for b in bags for w in (None, *b)], [x for b in bags for x in (sum(b.values()), *b.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(word, pa.binary()), pa.array(times, pa.int64())], names=["part", "word", "times"])
+
+    said = rows.select(_part(n).cast("long").alias("part"), "text").mapInArrow(run, "part long, word binary, times long")
+    counts = materialize(said.groupBy("part", "word").agg(F.count("*").alias("items"), F.sum("times").alias("times"), F.max("times").alias("longest")), "benchmark-words")
+    items, times, longest = counts.where("word is null").agg(F.sum("items"), F.sum("times"), F.max("longest")).first()
+    total = counts.where("word is not null").groupBy("word").agg(F.sum("items").alias("df"))
+
+    def view(k: int) -> Whole:
+        got = counts.where(F.col("part") == k).join(total, "word").select("word", "df").toArrow()
+        return Whole(items, times / items, longest, dict(zip(got["word"].to_pylist(), got["df"].to_pylist(), strict=True)))
+
+    return view
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", part_bytes: int = PART_BYTES) -> DataFrame:

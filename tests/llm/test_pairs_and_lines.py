@@ -209,6 +209,13 @@ def test_leaks_and_clean(spark, items):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, _ in docs} - {i for i, _ in want}
 
 
+def test_parts_find_what_one_index_finds(spark, items):
+    docs = [(i, spread(items[i][1], prose(7000 + i, 260), 11 * i % 250)) for i in range(40)] + ODD
+    bench, df = spark.createDataFrame(items, "item_id long, text string"), frame(spark, docs)
+    one, parts = (sorted(map(tuple, decontaminate.find(df, bench, part_bytes=b).collect()), key=str) for b in (decontaminate.PART_BYTES, 900))
+    assert one == parts and len(one) > 5
+
+
 def test_search_equals_brute_force(items):
     x = decontaminate.index(items)
     texts = [prose(6000 + i, 90 + 11 * i) + " " + (items[i][1] if i % 2 else " ".join(items[i][1].split()[:9])) for i in range(12)]
