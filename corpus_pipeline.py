@@ -49,7 +49,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality", quality_classifier), ("line dedup", lines), ("near copies", near_copies), ("decontamination", benchmark_leaks), ("tokens", tokens)]
-#: SQL cannot express the stages; tests hold them against brute force.
+#: SQL cannot express the stages; tests hold line dedup and near copies against brute force, and the others in parts.
 ORACLE_SQL = None
 
 

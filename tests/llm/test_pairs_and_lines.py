@@ -283,3 +283,22 @@ def test_lines_equal_brute_force(spark):
         assert got == want
     by = {r[1]: r for r in want}
     assert all(by[10 * k + 1][3] >= 51 for k in range(5, 12)) and by[230][3] > 150 and by[0][3] == by[1][3] == 0
+
+
+def test_pipeline_rows_equal_brute_force(spark):
+    import corpus_pipeline as c
+
+    rows = cut_corpus()
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    stages, want = dict(c.STAGES), [(None if null else i, t, gone) for null, i, t, gone in brute_runs(rows)]
+    want = [(i, t) for i, t, gone in want if t or not gone]
+
+    def rows_of(df):
+        return sorted((r.doc_id is None, r.doc_id or 0, " ".join(x.decode() for x in (r.text or "").encode().split())) for r in df.collect())
+
+    lines = stages["line dedup"](spark, docs, "")
+    assert rows_of(lines) == sorted((i is None, i or 0, t) for i, t in want)
+    assert all(r.n_chars == len(r.text or "") for r in lines.collect())
+    first = {i for _, i, _, component in brute(want, c.NEAR_WORDS, c.NEAR_PERCENT) if component == i}
+    left = {(False, i, t) for i, t in want if i in first} | {(True, 0, t) for i, t in want if i is None}
+    assert rows_of(stages["near copies"](spark, lines, "")) == sorted(left) and len(left) < len(want)
