@@ -31,6 +31,8 @@ STEPS, FORM = 8, 1.5
 THRESHOLD = 0.3
 MEASURES = 5
 WIDTH = TERMS + MEASURES * STEPS
+#: Columns beyond the dimensions and rounds of the subspace iteration; labelled rows worked on at once.
+OVERSAMPLE, ROUNDS, BLOCK = 32, 12, 512
 
 #: The bucket of each pair of bytes (multiplicative hashing).
 BUCKET = ((np.arange(1 << 16, dtype=np.uint32) * np.uint32(2654435761)) >> np.uint32(32 - 11)).astype(np.uint16)
@@ -73,10 +75,8 @@ class Model:
     label: np.ndarray
 
     def latent(self, counts: np.ndarray) -> np.ndarray:
-        x = weighted(counts) * self.weight
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        z = x @ self.basis
-        return z / np.maximum(np.linalg.norm(z, axis=1, keepdims=True), 1e-12)
+        z = unit(weighted(counts) * self.weight) @ self.basis
+        return unit(z)
 
     def score(self, counts: np.ndarray) -> np.ndarray:
         """Votes for every row of a block against all voters."""
@@ -84,32 +84,72 @@ class Model:
         if not len(self.label):
             return np.where(empty, 0.0, 0.5)
         cosine = self.latent(counts) @ self.voters.T
-        k = min(NEIGHBOURS, len(self.label))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+        near = nearest(cosine, min(NEIGHBOURS, len(self.label)))
         w = np.maximum(np.take_along_axis(cosine, near, 1), 1e-3).astype(np.float64) ** POWER
         return np.where(empty, 0.0, np.clip((w * self.label[near]).sum(1) / w.sum(1), 0, 1))
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length one."""
+    return x / np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x))[:, None], 1e-12)
+
+
+def nearest(cosine: np.ndarray, k: int) -> np.ndarray:
+    """Columns of the k largest values of each row; of equal values the earlier columns."""
+    near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    chosen = np.take_along_axis(cosine, near, 1)
+    last = chosen.min(1, keepdims=True)
+    # only a tie at the last place leaves a choice
+    for row in np.nonzero((cosine == last).sum(1) > (chosen == last).sum(1))[0]:
+        near[row] = np.argsort(-cosine[row], kind="stable")[:k]
+    return near
+
+
 def weighted(counts: np.ndarray) -> np.ndarray:
     x = counts.copy()
-    x[:, :TERMS] = np.log1p(x[:, :TERMS])
-    x[:, :TERMS] /= np.maximum(np.linalg.norm(x[:, :TERMS], axis=1, keepdims=True), 1e-12)
+    x[:, :TERMS] = unit(np.log1p(x[:, :TERMS]))
     x[:, TERMS:] *= FORM
     return x
 
 
-def fit(counts: np.ndarray, label: np.ndarray) -> Model:
-    """Weights and basis from the labelled sample (rows of `counts`)."""
+def pack(counts: np.ndarray) -> bytes:
+    """A row's places that are not zero, then their values."""
+    at = np.nonzero(counts)[0].astype(np.uint16)
+    return at.tobytes() + counts[at].tobytes()
+
+
+def unpack(rows: list[bytes]) -> np.ndarray:
+    out = np.zeros((len(rows), WIDTH), np.float32)
+    for i, row in enumerate(rows):
+        n = len(row) // 6
+        out[i, np.frombuffer(row, np.uint16, n)] = np.frombuffer(row, np.float32, n, 2 * n)
+    return out
+
+
+def directions(gram: np.ndarray, k: int) -> np.ndarray:
+    """The k leading eigenvectors, by subspace iteration from a fixed start; no more than k + OVERSAMPLE columns are held."""
+    q = np.random.Generator(np.random.PCG64(7)).standard_normal((len(gram), min(len(gram), k + OVERSAMPLE))).astype(np.float32)
+    for _ in range(ROUNDS):
+        q = np.linalg.qr(gram @ q)[0]
+    _, turn = np.linalg.eigh(q.T @ (gram @ q))
+    return np.ascontiguousarray((q @ turn)[:, ::-1][:, :k])
+
+
+def fit(rows: list[bytes], label: np.ndarray) -> Model:
+    """Weights and basis from the labelled sample, packed rows that are unpacked a block at a time."""
     if not len(label):
         return Model(np.ones(WIDTH, np.float32), np.zeros((WIDTH, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0))
-    rare = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))) + 1
+    blocks = [rows[at : at + BLOCK] for at in range(0, len(rows), BLOCK)]
+    seen = sum((unpack(b) > 0).sum(0) for b in blocks)
+    rare = np.log((1 + len(rows)) / (1 + seen)) + 1
     rare[TERMS:] = 1
-    x = weighted(counts) * rare.astype(np.float32)
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
-    basis = vectors[:, ::-1][:, : min(DIMENSIONS, len(counts))].astype(np.float32)
-    model = Model(rare.astype(np.float32), basis, np.zeros((0, 1), np.float32), label.astype(np.float64))
-    return Model(model.weight, basis, np.ascontiguousarray(model.latent(counts)), model.label)
+    weight, gram = rare.astype(np.float32), np.zeros((WIDTH, WIDTH), np.float32)
+    for b in blocks:
+        x = unit(weighted(unpack(b)) * weight)
+        gram += x.T @ x
+    basis = directions(gram, min(DIMENSIONS, len(rows)))
+    model = Model(weight, basis, np.zeros((0, 1), np.float32), label.astype(np.float64))
+    return Model(weight, basis, np.concatenate([model.latent(unpack(b)) for b in blocks]), model.label)
 
 
 def held_out(key) -> F.Column:
@@ -124,13 +164,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def run(batches):
         for batch in small_batches(batches, 256):
-            data = as_bytes(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([pa.array(batch.column("key").to_pylist(), pa.string() if pa.types.is_string(batch.column("key").type) else pa.int64()), batch.column("label").cast(pa.int32()), pa.array([terms(x).tobytes() for x in data], pa.binary())], names=["key", "label", "terms"])
+            made = [pack(terms(x)) for x in as_bytes(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("label").cast(pa.int32()), pa.array(made, pa.binary())], names=["key", "label", "terms"])
 
     kind = rows.schema["key"].dataType.simpleString()
-    got = rows.mapInArrow(run, f"key {kind}, label int, terms binary").dropDuplicates(["key"]).orderBy(F.xxhash64("key"), "key").collect()
-    counts = np.frombuffer(b"".join(r["terms"] for r in got), np.float32).reshape(len(got), WIDTH)
-    return fit(counts, np.array([r["label"] for r in got], np.int64))
+    # of rows with one id the least counts as its text, wherever they lie
+    once = rows.mapInArrow(run, f"key {kind}, label int, terms binary").groupBy("key", "label").agg(F.min("terms").alias("terms"))
+    got = once.orderBy(F.xxhash64("key"), "key").select("label", "terms").toArrow()
+    return fit(got["terms"].to_pylist(), got["label"].to_numpy().astype(np.int64))
 
 
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -235,7 +235,9 @@ def test_quality_blocks_equal_all_pairs():
     r = np.random.default_rng(2)
     counts = np.stack([quality.terms(prose(i, 30 + i).encode()) for i in range(60)])
     label = r.integers(0, 2, 60)
-    m = quality.fit(counts, label)
+    rows = [quality.pack(c) for c in counts]
+    assert np.array_equal(quality.unpack(rows), counts)
+    m = quality.fit(rows, label)
     z = m.latent(counts)
     for i in (0, 7, 59):
         cosine = sorted(((float(z[i] @ v), -k) for k, v in enumerate(m.voters)), reverse=True)[: quality.NEIGHBOURS]
@@ -243,6 +245,29 @@ def test_quality_blocks_equal_all_pairs():
         assert m.score(counts[i : i + 1])[0] == pytest.approx(sum(x * label[-k] for x, (_, k) in zip(w, cosine, strict=True)) / sum(w), rel=1e-4)
 
 
+def test_nearest_takes_the_earlier_of_ties():
+    r = np.random.default_rng(3)
+    cosine = r.integers(0, 4, (200, 50)).astype(np.float32)
+    want = np.argsort(-cosine, axis=1, kind="stable")[:, :7]
+    assert np.array_equal(np.sort(quality.nearest(cosine, 7), 1), np.sort(want, 1))
+
+
+def test_directions_span_the_leading_eigenvectors():
+    r = np.random.default_rng(4)
+    x = r.standard_normal((300, 120)) * (0.9 ** np.arange(120))
+    gram = (x.T @ x).astype(np.float32)
+    want = np.linalg.eigh(gram.astype(np.float64))[1][:, ::-1][:, :16]
+    got = quality.directions(gram, 16)
+    assert np.allclose(np.abs(np.linalg.svd(want.T @ got)[1]), 1, atol=1e-3)
+
+
+def test_quality_takes_one_text_of_a_repeated_id(spark):
+    labels = spark.createDataFrame([(903, 1), (907, 0)], "doc_id long, quality int")
+    rows = [(903, "one"), (903, "two words"), (907, "three more words"), (903, "one")]
+    a, b = (quality.train(frame(spark, x).repartition(n), labels) for x, n in ((rows, 1), (rows[::-1], 3)))
+    assert np.array_equal(a.voters, b.voters) and len(a.label) == 2
+
+
 def test_quality_without_labels(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     model = quality.train(frame(spark, ODD), none)
