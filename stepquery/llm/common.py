@@ -7,6 +7,8 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Only used where the session names no shared folder (tests on one machine).
 LOCAL_ROOT = "file:///tmp/checkpoints/stepquery"
@@ -33,6 +35,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def whole_number(df: DataFrame, key: str) -> F.Column:
+    """An id as a long. Ids of other types have no order that the operators could follow, and are refused."""
+    kind = df.schema[key].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.NullType)):
+        raise TypeError(f"column {key} must hold whole numbers, not {kind.simpleString()}")
+    return F.col(f"`{key}`").cast("long")
+
+
+def free_names(df: DataFrame, n: int) -> list[str]:
+    """Names that no column of `df` has, whatever the case of its letters."""
+    taken, k = {c.lower() for c in df.columns}, 0
+    while any(f"_{k}_{i}" in taken for i in range(n)):
+        k += 1
+    return [f"_{k}_{i}" for i in range(n)]
+
+
 def small_batches(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
     """Slices without copying, so that what is made from a batch stays small."""
     for batch in batches:

@@ -27,13 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bloom, words
-from .common import as_bytes, as_strings, materialize, small_batches
+from .common import as_bytes, as_strings, free_names, materialize, small_batches, whole_number
 
 #: Words in a row that make a run.
 MIN_WORDS = 32
 #: Words of a seed are so many eighths of a window's.
 SEED = 3
 LAST = (1 << 63) - 1
+PLACE = np.uint64(0xFFFFFFFF)
+PLACE_OF_RUN = "doc", "version", "first", "last"
 BASES = (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03)
 
 
@@ -122,40 +124,28 @@ def _groups(keys: list, versions: list, texts: list[bytes], size: int = 1 << 18)
             at, held = k + 1, 0
 
 
-def least_between(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Minimum of each x[a:b], by a table of minima over powers of two."""
-    level = np.log2(np.maximum(1, b - a)).astype(np.int64)
-    out, table = np.empty(len(a), x.dtype), x
-    for k in range(int(level.max()) + 1):
-        at = np.nonzero(level == k)[0]
-        if len(at):
-            out[at] = np.minimum(table[a[at]], table[b[at] - (1 << k)])
-        if len(table) > 1 << k:
-            table = np.minimum(table[: len(table) - (1 << k)], table[1 << k :])
-    return out
-
-
 def least_at(x: np.ndarray, width: int) -> np.ndarray:
-    """Place of the leftmost minimum of each x[i : i + width]."""
-    at, k = np.arange(len(x)), 1
+    """Place of the leftmost minimum of the upper halves of each x[i : i + width]: place and upper half are one number."""
+    low, k = (x & ~PLACE) | np.arange(len(x), dtype=np.uint64), 1
     while k < width:
         step = min(k, width - k)
-        left, right = at[:-step], at[step:]
-        at = np.where(x[left] <= x[right], left, right)
+        low = np.minimum(low[:-step], low[step:])
         k += step
-    return at
+    return (low & PLACE).astype(np.int64)
 
 
-RUN = "doc long, version long, first int, last int, h1 long, h2 long"
+RUN = "doc long, version long, first int, last int, h1 long, h2 long, again boolean"
 
 
-def _scan(docs: DataFrame, least: int, schema: str, rows) -> DataFrame:
-    """The columns that `rows` makes of the windows of each group of texts."""
+def _scan(docs: DataFrame, least: int, schema: str, rows, only: bloom.Filter | None = None) -> DataFrame:
+    """The columns that `rows` makes of the windows of each group of texts. only: passes over all other documents."""
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
         made = Windows(least)
         for batch in small_batches(batches, 512):
+            if only:
+                batch = batch.filter(pa.array(only.has(batch.column(0).to_numpy())))
             for doc, version, texts in _groups(batch.column(0).to_pylist(), batch.column(2).to_pylist(), as_bytes(batch.column(1))):
                 if made.read(texts):
                     columns = rows(made, doc, version)
@@ -170,13 +160,26 @@ def _prints(made: Windows, doc: np.ndarray, version: np.ndarray) -> tuple[np.nda
     return (made.prints[made.selected()],)
 
 
+def repeats(text: np.ndarray, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+    """Which runs have the words of an earlier one of their own text; the runs are in order."""
+    with np.errstate(over="ignore"):
+        order = np.argsort(h1 ^ (text * np.int64(0x5851F42D4C957F2D)), kind="stable")
+    same = np.ones(max(0, len(order) - 1), bool)
+    for c in (text, h1, h2):
+        same &= c[order[1:]] == c[order[:-1]]
+    out = np.zeros(len(order), bool)
+    out[order[1:][same]] = True
+    return out
+
+
 def _spans(shared: bloom.Filter):
     """Spans whose fingerprint is among `shared`."""
 
     def rows(made, doc, version):
         first = made.selected()
         ok, text = shared.has(made.prints[first]), made.text[first]
-        return tuple(c[ok] for c in (doc[text], version[text], *made.spans(first), made.prints[first]))
+        a, b, h1, h2 = made.spans(first)
+        return tuple(c[ok] for c in (doc[text], version[text], a, b, h1, h2, repeats(text, h1, h2), made.prints[first]))
 
     return rows
 
@@ -189,78 +192,90 @@ def _windows(chosen: bloom.Filter):
         ok = chosen.has(made.spans(first)[2] ^ doc[made.text[first]])
         k = np.nonzero(np.repeat(ok, np.diff(np.concatenate([first, [len(made.begin)]]))))[0]
         text, begin = made.text[k], made.begin[k]
-        return doc[text], version[text], *made.runs(begin, begin + made.least, text)
+        a, b, h1, h2 = made.runs(begin, begin + made.least, text)
+        return doc[text], version[text], a, b, h1, h2, repeats(text, h1, h2)
 
     return rows
 
 
-def place_of(key: str) -> F.Column:
-    return F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc")
+def place_of(docs: DataFrame, key: str) -> F.Column:
+    return F.coalesce(whole_number(docs, key), F.lit(LAST))
 
 
 def _later(runs: DataFrame, groups: DataFrame) -> DataFrame:
     """(doc, version, first, last) of the runs whose words occur earlier. groups: (h1, h2, home, n), home the smallest document."""
-    # min by document, then by place: plain numbers fold in a hash table, and what is written can be split again when joined
-    origin = materialize(groups.where("n > 1").select("h1", "h2", "home"), "origins")
-    seen = materialize(runs.join(origin, ["h1", "h2"]), "repeats")
-    inside = seen.where("doc = home").groupBy("doc", "h1", "h2").agg(F.min("first").alias("place"))
-    again = seen.where("doc = home").join(inside, ["doc", "h1", "h2"]).where("first > place").select("doc", "version", "first", "last")
-    return seen.where("doc > home").select("doc", "version", "first", "last").unionByName(again)
+    again, once = runs.where("again"), runs.where("not again").join(groups.where("n > 1").select("h1", "h2", "home"), ["h1", "h2"])
+    return again.select(*PLACE_OF_RUN).unionByName(once.where("doc > home").select(*PLACE_OF_RUN))
 
 
 def repeated_runs(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """(doc, version, first, last): spans of words that occur earlier."""
-    plain = docs.select(place_of(key), F.col(text).alias("text"), F.xxhash64(text).alias("version"))
+    plain = docs.select(place_of(docs, key).alias("doc"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("version"))
     prints = _scan(plain, least, "print long", _prints).groupBy("print").count().where("count > 1")
     shared = bloom.build(materialize(prints.select("print"), "fingerprints"), "print")
     spans = materialize(_scan(plain, least, RUN + ", print long", _spans(shared)), "spans")
+    # the smallest document, a plain number, folds in a hash table; what repeats in one text needs no group
     home = F.min("doc").alias("home"), F.count("*").alias("n")
-    groups = materialize(spans.groupBy("h1", "h2").agg(*home, F.max("print").alias("print")), "groups")
+    groups = materialize(spans.where("not again").groupBy("h1", "h2").agg(*home, F.max("print").alias("print")), "groups")
     several = groups.groupBy("print").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi").select("print")
-    chosen = bloom.build(materialize(groups.join(several, "print").select(F.col("h1").bitwiseXOR(F.col("home")).alias("key")), "chosen"), "key")
-    windows = materialize(_scan(plain, least, RUN, _windows(chosen)), "windows")
-    return _later(spans.drop("print"), groups).unionByName(_later(windows, windows.groupBy("h1", "h2").agg(*home)))
+    first = materialize(groups.join(several, "print").select(F.col("h1").bitwiseXOR(F.col("home")).alias("key"), "home"), "chosen")
+    chosen, only = bloom.build(first, "key"), bloom.build(first.select("home").distinct(), "home")
+    windows = materialize(_scan(plain, least, RUN, _windows(chosen), only), "windows")
+    return _later(spans, groups).unionByName(_later(windows, windows.where("not again").groupBy("h1", "h2").agg(*home)))
+
+
+def merge(doc: np.ndarray, version: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Disjoint spans of spans that are in order of document, version and first word."""
+    other = np.concatenate([[True], (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])])
+    shift = np.cumsum(other) << 32
+    reach = np.maximum.accumulate(last + shift) - shift  # of the spans so far, in one text
+    at = np.nonzero(other | np.concatenate([[True], first[1:] > reach[:-1]]))[0]
+    return doc[at], version[at], first[at], reach[np.concatenate([at[1:], [len(doc)]]) - 1]
 
 
 def _merged(runs: DataFrame) -> DataFrame:
-    """(doc, version, spans): disjoint spans in order, each as first word times 2^32 plus end word."""
-    packed = F.shiftleft(F.col("first").cast("long"), 32).bitwiseOR(F.col("last").cast("long"))
-    sets = runs.groupBy("doc", "version").agg(F.collect_set(packed).alias("spans"))
+    """(doc, version, spans): disjoint spans in order, each as first word times 2^32 plus end word.
+
+    Runs are sorted by place and merged as they stream by, so no set of a document's runs is ever held.
+    """
+    ordered = runs.repartition("doc", "version").sortWithinPartitions("doc", "version", "first")
+
+    def pack(doc, version, first, last):
+        at = np.nonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])]))[0]
+        offsets = np.concatenate([at, [len(doc)]]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(version[at]), pa.ListArray.from_arrays(offsets, first << 32 | last)], names=["doc", "version", "spans"])
 
     def run(batches):
+        held = [np.zeros(0, np.int64)] * 4
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            lists = batch.column(2)
-            flat, row = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            order = np.lexsort((flat, row))
-            flat, row = flat[order], row[order]
-            first, last = flat >> 32, flat & 0xFFFFFFFF
-            reach = np.maximum.accumulate(last + (row << 32)) - (row << 32)  # of the spans so far, in one row
-            new = np.concatenate([[True], (row[1:] != row[:-1]) | (first[1:] > reach[:-1])])
-            at = np.nonzero(new)[0]
-            spans = first[at] << 32 | reach[np.concatenate([at[1:], [len(row)]]) - 1]
-            offsets = np.searchsorted(row[at], np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, spans)], names=["doc", "version", "spans"])
-
-    return sets.mapInArrow(run, "doc long, version long, spans array<long>")
+            if batch.num_rows:
+                spans = merge(*(np.concatenate([h, c.to_numpy().astype(np.int64)]) for h, c in zip(held, batch.columns, strict=True)))
+                done = np.nonzero((spans[0] != spans[0][-1]) | (spans[1] != spans[1][-1]))[0]
+                cut = int(done[-1]) + 1 if len(done) else 0
+                if cut:
+                    yield pack(*(c[:cut] for c in spans))
+                held = [c[cut:] for c in spans]
+        if len(held[0]):
+            yield pack(*held)
+
+    return ordered.mapInArrow(run, "doc long, version long, spans array<long>")
 
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = MIN_WORDS) -> DataFrame:
     """`docs` with later repeated runs deleted from `text`, and `words_deleted`."""
-    runs = materialize(_merged(repeated_runs(docs, key, text, least)), "runs")
-    names = [c for c in docs.columns if c != "words_deleted"]
-    kept = docs.select(*(F.col(f"`{c}`") for c in names))
-    joined = kept.join(runs.hint("merge"), (place_of(key) == F.col("doc")) & (F.xxhash64(text) == F.col("version")), "left").select(*(F.col(f"`{c}`") for c in names), F.col("spans").alias("_spans"))
+    doc, version, spans = free_names(docs, 3)
+    runs = materialize(_merged(repeated_runs(docs, key, text, least)), "runs").toDF(doc, version, spans)
+    kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c != "words_deleted"))
     # by a shuffle whatever the size: texts move once, and costs grow evenly
+    joined = kept.join(runs.hint("merge"), (place_of(docs, key) == F.col(doc)) & (F.xxhash64(F.col(f"`{text}`")) == F.col(version)), "left").drop(doc, version)
     schema = kept.schema.add("words_deleted", "long")
 
     def run(batches):
         for batch in small_batches(batches, 512):
-            spans = batch.column("_spans").to_pylist()
-            batch = batch.drop_columns(["_spans"])
+            found = batch.column(spans).to_pylist()
+            batch = batch.drop_columns([spans])
             gone, texts = list(repeat(0, batch.num_rows)), None
-            for i, s in enumerate(spans):
+            for i, s in enumerate(found):
                 if s:
                     texts = as_strings(batch.column(text)) if texts is None else texts
                     if texts[i] is None:

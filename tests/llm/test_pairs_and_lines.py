@@ -147,6 +147,17 @@ def test_passages_go_from_later_documents(spark):
     assert out.count() == len(rows)
 
 
+def test_line_dedup_with_clashing_names_and_odd_ids(spark):
+    text = prose(3, 60)
+    names = "doc_id, text, doc, version, spans, _0_1, Words_deleted2"
+    df = spark.createDataFrame([(i, text, 1, 2, 3, 4, 5) for i in (4, 2)], "doc_id int, text string, doc int, version int, spans int, _0_1 int, Words_deleted2 int")
+    out = line_dedup.dedup(df)
+    assert out.columns == [*names.split(", "), "words_deleted"]
+    assert {(r.doc_id, r.text, r.doc, r.spans, r.words_deleted) for r in out.collect()} == {(2, text, 1, 3, 0), (4, "", 1, 3, 60)}
+    with pytest.raises(TypeError, match="whole numbers"):
+        line_dedup.dedup(spark.createDataFrame([("a", text)], "doc_id string, text string"))
+
+
 def test_windows_are_shared_and_winnowed():
     made = line_dedup.Windows(32)
     a, b = prose(1, 200), spread(prose(1, 200), prose(9, 90), 33)
@@ -164,11 +175,20 @@ def test_windows_are_shared_and_winnowed():
     assert all((u == v[text == 2]).all() for u, v in zip(alone[1:], (first, last, prints, h1, h2), strict=True))
 
 
-def test_least_between():
-    r = np.random.default_rng(0)
-    x, a = r.integers(0, 99, 200), r.integers(0, 190, 100)
-    b = np.minimum(200, a + r.integers(1, 40, 100))
-    assert line_dedup.least_between(x, a, b).tolist() == [x[i:j].min() for i, j in zip(a, b, strict=True)]
+def test_least_at_takes_the_leftmost():
+    x = np.random.default_rng(0).integers(0, 9, 300).astype(np.uint64) << np.uint64(32)
+    for width in (1, 2, 5, 21, 32):
+        assert line_dedup.least_at(x, width).tolist() == [i + int(np.argmin(x[i : i + width])) for i in range(len(x) - width + 1)]
+
+
+def test_merge_joins_spans_of_one_text():
+    r = np.random.default_rng(1)
+    rows = sorted({(int(d), int(v), int(a), int(a + n)) for d, v, a, n in zip(r.integers(0, 3, 99), r.integers(0, 2, 99), r.integers(0, 60, 99), r.integers(1, 6, 99), strict=True)})
+    got = set()
+    for d, v, a, b in zip(*(c.tolist() for c in line_dedup.merge(*(np.array(c) for c in zip(*rows, strict=True)))), strict=True):
+        got |= {(d, v, i) for i in range(a, b)}
+        assert (d, v, b) not in got and not any(x[0] == d and x[1] == v and x[2] <= a - 1 < x[3] for x in rows)
+    assert got == {(d, v, i) for d, v, a, b in rows for i in range(a, b)}
 
 
 def test_without():
