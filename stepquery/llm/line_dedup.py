@@ -30,7 +30,7 @@ from . import bloom, words
 from .common import as_bytes, as_strings, free_names, materialize, small_batches, whole_number
 
 #: Words in a row that make a run.
-MIN_WORDS = 32
+MIN_WORDS = 24
 #: Words of a seed are so many eighths of a window's.
 SEED = 3
 LAST = (1 << 63) - 1
