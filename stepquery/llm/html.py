@@ -11,14 +11,16 @@ and blocks are joined in page order by one space.
 
 Defined results: a null or empty html, and a page without text, give the empty text; a null url is a host of its own
 kind (no consensus beyond pages without url); ties between paths fall to the path that sorts last; broken markup is
-closed where a browser would close it, roughly; repeated rows give repeated results; an empty table gives no rows.
+closed where a browser would close it, roughly; repeated rows give repeated results; an empty table gives no rows. A page
+is read once from front to back whatever its markup: neither deep nesting nor tags that never end cost more than in
+proportion to its length. The heading of an article (a `header` inside it, or a heading element) is a part of its text.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -33,8 +35,13 @@ BROADCAST = 16 << 20
 #: Elements whose content is no markup. Without an end tag the first four run to the end of the page, the others are empty.
 RAW = "script style textarea title iframe noscript xmp noembed noframes".split()
 TO_THE_END = set(RAW[:4])
-RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
+#: Where markup starts; a tag with its quoted attributes; a tag that ends at the next > whatever is quoted.
+MARKUP = re.compile(r"<(?=[a-zA-Z!?]|/[a-zA-Z])")
+TAG = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+PLAIN_TAG = re.compile(r"<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>[^>]*+)>")
+#: Tags of a page whose quotes never end that are looked at; each may cost a look at the whole rest of the page.
+UNENDED = 16
 ATTR = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([^\s=\"'/]+)", re.S)
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("svg math canvas audio video object select template a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
@@ -42,6 +49,7 @@ CONTAINERS = set("article main section div td body center blockquote".split())
 CLOSES_P = set("address article aside blockquote center details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 #: What an open element of this name is closed by when one of these starts inside it.
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
+CLOSES = {t: tuple(k for k, v in CLOSED_BY.items() if t in v) for v in CLOSED_BY.values() for t in v}
 SCOPE = set("article aside body details div dl fieldset footer form header html main nav object ol section select table td template th ul".split())
 #: Drawings and formulas end where one of these starts, unless it stands in a part of them that holds markup.
 FOREIGN, HOLDS_MARKUP = {"svg", "math"}, set("foreignobject desc annotation-xml mi mo mn ms mtext".split())
@@ -54,17 +62,23 @@ NAMES = re.compile(
 )
 GOOD = re.compile(r"(?:^|[-_\s])(?:article|content|entry|main|post|story|text|body)(?:$|[-_\s\d])", re.I)
 NEVER = {"html", "body", "article", "main"}
+HEADINGS = set("h1 h2 h3 h4 h5 h6 hgroup".split())
+#: What names the head of a page, and inside an article the article's own.
+HEAD = re.compile(r"(?:^|[-_\s])(?:header|masthead|banner)(?=$|[-_\s\d])", re.I)
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
     tag: str
     parent: int
-    path: str
+    place: int  # of its generalised path
     dropped: bool
     weight: float
     depth: int
     link: bool
+    article: bool = False  # inside one
+    foreign: int = 0  # stack depth of the drawing or formula around it, 0: none
+    open: dict[str, int] = field(default_factory=dict)  # stack depths of what a tag may close, in its scope
     end: int = 0
     text: int = 0
     linked: int = 0
@@ -74,41 +88,70 @@ class Node:
 class Page:
     nodes: list[Node]
     pieces: list[tuple[int, str]] = field(default_factory=list)  # node and text; node -1: a block ends
+    places: dict[tuple[int, str], int] = field(default_factory=dict)  # place above and segment: place
+
+    def path(self, node: int) -> str:
+        """The generalised path of a node, written out."""
+        of, out, place = {v: k for k, v in self.places.items()}, [], self.nodes[node].place
+        while place:
+            place, segment = of[place]
+            out.append(segment)
+        return "/".join(["", "html", *reversed(out)])
+
+    def place_of(self, path: str) -> int | None:
+        """The place of a path, None where the page has none such."""
+        place = 0
+        for segment in path.split("/")[2:]:
+            if (place := self.places.get((place, segment))) is None:
+                return None
+        return place
 
 
 def attributes(text: str) -> dict[str, str]:
     return {(m[1] or m[5]).lower(): unescape(m[2] or m[3] or m[4] or "") for m in ATTR.finditer(text)} if text.strip(" /") else {}
 
 
-def node(tag: str, attrs: dict[str, str], parent: int, above: Node | None) -> Node:
-    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
+def boilerplate(tag: str, attrs: dict[str, str], names: str, article: bool) -> bool:
+    """Whether an element holds none of the main text, by what it is and says of itself."""
+    own_head = article or tag in HEADINGS
     role = attrs.get("role", "").lower()
-    dropped = (
-        bool(above and above.dropped)
-        or tag in DROPPED
-        or role in ROLES
+    return (
+        (tag in DROPPED and not (tag == "header" and article))
+        or (role in ROLES and not (role == "banner" and own_head))
         or "hidden" in attrs
         or attrs.get("aria-hidden", "").lower() == "true"
         or "display:none" in attrs.get("style", "").replace(" ", "").lower()
-        or (tag not in NEVER and bool(names) and bool(NAMES.search(names)))
+        or (tag not in NEVER and bool(names) and bool(NAMES.search(HEAD.sub(" ", names) if own_head else names)))
     )
+
+
+def node(page: Page, tag: str, attrs: dict[str, str], parent: int, depth: int) -> Node:
+    """An element below node `parent`, at this depth of the stack."""
+    above = page.nodes[parent]
+    names = f"{attrs.get('class', '')} {attrs.get('id', '')}".strip()
+    dropped = above.dropped or boilerplate(tag, attrs, names, above.article)
     # the classes of a whole page tell pages apart, not places in them
-    classes = "" if tag == "body" else ".".join(sorted(re.sub(r"\d+", "#", c) for c in attrs.get("class", "").split()))
-    good = tag in ("article", "main") or role == "main" or attrs.get("itemprop", "").lower() == "articlebody"
+    classes = "" if tag == "body" else ".".join(sorted(re.sub(r"\d+", "#", c).replace("/", "|") for c in attrs.get("class", "").split()))
+    good = tag in ("article", "main") or attrs.get("role", "").lower() == "main" or attrs.get("itemprop", "").lower() == "articlebody"
     weight = 3.0 if good else 0.3 if tag == "body" else 1.5 if GOOD.search(names) else 1.0
-    path = f"{above.path if above else ''}/{tag}{'.' if classes else ''}{classes}"
-    return Node(tag, parent, path, dropped, weight, (above.depth if above else 0) + 1, tag == "a" or bool(above and above.link))
+    segment = f"{tag}.{classes}" if classes else tag
+    place = page.places.setdefault((above.place, segment), len(page.places) + 1)
+    foreign = depth if tag in FOREIGN else 0 if tag in HOLDS_MARKUP else above.foreign
+    opened = {} if tag in SCOPE else above.open
+    if tag == "p" or tag in CLOSED_BY:
+        opened = opened | {tag: depth}
+    return Node(tag, parent, place, dropped, weight, above.depth + 1, tag == "a" or above.link, tag == "article" or above.article, foreign, opened)
 
 
 def parse(html: str) -> Page:
-    root = Node("html", -1, "/html", False, 0.2, 0, False)
-    page, stack, at = Page([root]), [0], 0
-    nodes, pieces = page.nodes, page.pieces
+    page = Page([Node("html", -1, 0, False, 0.2, 0, False)])
+    nodes, pieces, stack, opened = page.nodes, page.pieces, [0], Counter()
 
     def close(depth: int) -> None:
         while len(stack) > depth:
             n = nodes[stack.pop()]
             n.end = len(nodes)
+            opened[n.tag] -= 1
             if n.tag not in INLINE and not nodes[n.parent].dropped:
                 pieces.append((-1, ""))
 
@@ -116,65 +159,64 @@ def parse(html: str) -> Page:
         if text:
             pieces.append((stack[-1], unescape(text) if "&" in text else text))
 
-    def innermost(names: set[str]) -> int | None:
-        """Depth of the innermost open element of these names that no scope hides."""
-        for d in range(len(stack) - 1, 0, -1):
-            tag = nodes[stack[d]].tag
-            if tag in names:
-                return d
-            if tag in SCOPE:
-                return None
-        return None
+    def start(tag: str, attrs: str) -> None:
+        if (d := nodes[stack[-1]].open.get("p", 0)) and tag in CLOSES_P:
+            close(d)
+        if tag in CLOSES and (d := max(nodes[stack[-1]].open.get(t, 0) for t in CLOSES[tag])):
+            close(d)
+        if tag == "body":
+            close(1)
+        gone = nodes[stack[-1]].dropped
+        if tag not in INLINE and not gone:
+            pieces.append((-1, ""))
+        nodes.append(node(page, tag, {} if gone else attributes(attrs), stack[-1], len(stack)))
+        if attrs.endswith("/"):
+            nodes[-1].end = len(nodes)
+        else:
+            stack.append(len(nodes) - 1)
+            opened[tag] += 1
 
     unclosed: set[str] = set()
-    while m := TOKEN.search(html, at):
-        say(html[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if not tag:
+    at, unended = 0, 0
+    while m := MARKUP.search(html, at):
+        i = m.start()
+        if html[i + 1] in "!?":
+            comment = html.startswith("<!--", i)
+            end = html.find("-->", i + 4) + 2 if comment else html.find(">", i)
+            say(html[at:i])
+            at = end + 1 if end > 1 else len(html)
             continue
-        tag, gone = tag.lower(), nodes[stack[-1]].dropped
+        m = TAG.match(html, i) if unended < UNENDED else None
+        if not m:
+            unended += 1
+            m = PLAIN_TAG.match(html, i)
+            if not m:  # no tag ends from here on
+                break
+        say(html[at:i])
+        at, tag = m.end(), m["tag"].lower()
         if m["end"]:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if nodes[stack[d]].tag == tag), None)
-            if depth is not None:
-                close(depth)
+            if opened[tag]:
+                close(next(d for d in range(len(stack) - 1, 0, -1) if nodes[stack[d]].tag == tag))
             continue
         if tag == "html":
             continue
-        foreign = next((d for d in range(len(stack) - 1, 0, -1) if nodes[stack[d]].tag in FOREIGN or nodes[stack[d]].tag in HOLDS_MARKUP), None) if gone else None
-        if foreign is not None and nodes[stack[foreign]].tag in HOLDS_MARKUP:
-            foreign = None
-        if foreign is not None and tag in LEAVES_FOREIGN:
+        foreign = nodes[stack[-1]].foreign
+        if foreign and tag in LEAVES_FOREIGN:
             close(foreign)
-            gone, foreign = nodes[stack[-1]].dropped, None
-        if tag in RAW_END and foreign is None:
+            foreign = 0
+        if tag in RAW_END and not foreign:
             end = None if tag in unclosed else RAW_END[tag].search(html, at)
-            if end:
-                at = end.end()
+            end = html.find(">", end.end()) if end else -1
+            if end >= 0:
+                at = end + 1
             else:
                 unclosed.add(tag)
                 at = len(html) if tag in TO_THE_END else at
-            continue
-        if tag in VOID:
-            if tag not in INLINE and not gone:
+        elif tag in VOID:
+            if tag not in INLINE and not nodes[stack[-1]].dropped:
                 pieces.append((-1, ""))
-            continue
-        if tag in CLOSES_P and (d := innermost({"p"})) is not None:
-            close(d)
-        if closing := [k for k, v in CLOSED_BY.items() if tag in v]:
-            if (d := innermost(set(closing))) is not None:
-                close(d)
-        if tag == "body":
-            close(1)
-        gone = nodes[stack[-1]].dropped
-        if tag not in INLINE and not gone:
-            pieces.append((-1, ""))
-        attrs = m["attrs"]
-        nodes.append(node(tag, {} if gone else attributes(attrs), stack[-1], nodes[stack[-1]]))
-        if not attrs.endswith("/"):
-            stack.append(len(nodes) - 1)
         else:
-            nodes[-1].end = len(nodes)
+            start(tag, m["attrs"])
     say(html[at:])
     close(0)
     return page
@@ -202,15 +244,17 @@ def best(page: Page) -> tuple[int, float]:
 
 
 def text_of(page: Page, roots: list[int]) -> str:
-    """Blocks of the subtrees in page order."""
+    """Blocks of the subtrees, which do not overlap, in page order."""
+    inside = bytearray(len(page.nodes))
+    for r in roots:
+        inside[r : page.nodes[r].end] = b"\1" * (page.nodes[r].end - r)
     blocks, run = [], []
-    spans = [(r, page.nodes[r].end) for r in roots]
     for k, text in page.pieces:
         if k < 0:
             if run:
                 blocks.append("".join(run))
                 run = []
-        elif not page.nodes[k].dropped and any(a <= k < b for a, b in spans):
+        elif inside[k] and not page.nodes[k].dropped:
             run.append(text)
     blocks.append("".join(run))
     return " ".join(w for b in blocks for w in b.split())
@@ -219,9 +263,10 @@ def text_of(page: Page, roots: list[int]) -> str:
 def extract(html: str, path: str | None) -> str:
     page = parse(html)
     roots, end = [], 0
-    if path:
+    place = page.place_of(path) if path else None
+    if place is not None:
         for k, n in enumerate(page.nodes):
-            if n.path == path and k >= end and not n.dropped:
+            if n.place == place and k >= end and not n.dropped:
                 roots.append(k)
                 end = n.end
     if not roots:
@@ -246,7 +291,7 @@ def consensus(pages: DataFrame, html: str = "html", url: str = "url") -> DataFra
                     page = parse(x)
                     choice, weight = best(page)
                     if choice >= 0:
-                        votes[host, page.nodes[choice].path] += weight
+                        votes[host, page.path(choice)] += weight
             if len(votes) > 50_000:
                 yield pack(votes)
                 votes.clear()
