@@ -2,21 +2,29 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Only used where the session names no shared folder (tests on one machine).
+#: Only used where the session names no shared folder and runs in one process (tests).
 LOCAL_ROOT = "file:///tmp/checkpoints/stepquery"
+#: Lists of the paths written since each open `scratch` began.
+_SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share, from the session's own setting."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or LOCAL_ROOT).rstrip("/")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.match(r"local(\[|$)", spark.conf.get("spark.master", "")):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (root or LOCAL_ROOT).rstrip("/")
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
@@ -24,9 +32,26 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that `materialize` writes inside are deleted at the end, but for those to `keep`."""
+    paths: list[str] = []
+    token = _SCRATCH.set((*_SCRATCH.get(), paths))
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for p in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(p)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
+    if not keep:
+        for paths in _SCRATCH.get():
+            paths.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.parquet(path)
 
