@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, materialize, shared_path, small_batches
+from .common import as_bytes, materialize, shared_path, small_batches, whole_number
 
 MAGIC = 0x184D2A5D
 #: An archive is closed beyond so many bytes of records.
@@ -134,8 +134,9 @@ def marked(pages: DataFrame, key: str = "page_id", html: str = "html", url: str
     copies, are split by adaptive execution.
     """
     digest = F.sha2(F.coalesce(F.col(html), F.lit("")), 256)
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(html).alias("html"), digest.alias("digest"))
-    first = pages.select(F.col(key).cast("long").alias("page_id"), digest.alias("digest")).groupBy("digest").agg(F.min("page_id").alias("first"))
+    page_id = whole_number(pages, key).alias("page_id")
+    rows = pages.select(page_id, F.col(url).alias("url"), F.col(html).alias("html"), digest.alias("digest"))
+    first = pages.select(page_id, digest.alias("digest")).groupBy("digest").agg(F.min("page_id").alias("first"))
     return rows.join(first, "digest").drop("digest")
 
 
@@ -188,7 +189,8 @@ FIELDS = [("page_id", pa.int64(), "long"), ("url", pa.string(), "string"), ("pay
 
 
 def read(archives: DataFrame, payload: bool = True) -> DataFrame:
-    """A row per record. A response's length and digest are computed from what was read, and must be those it names."""
+    """A row per record, each archive read by a task of its own. A response's length and digest are computed from what was
+    read, and must be those it names."""
     fields = FIELDS if payload else FIELDS[:-1]
 
     def rows(uri: str):
@@ -214,4 +216,7 @@ def read(archives: DataFrame, payload: bool = True) -> DataFrame:
                         made, size = [], 0
                 yield pack(made)
 
-    return archives.select("archive").repartition("archive").mapInArrow(run, ", ".join(f"{n} {ddl}" for n, _, ddl in fields))
+    # the list of archives is short, a row for ARCHIVE_BYTES of records: numbered in one task, then dealt one by one
+    numbered = archives.select("archive").coalesce(1).withColumn("no", F.monotonically_increasing_id().cast("int"))
+    dealt = numbered.repartitionById(max(1, archives.count()), F.col("no"))
+    return dealt.mapInArrow(run, ", ".join(f"{n} {ddl}" for n, _, ddl in fields))
