@@ -10,7 +10,8 @@ Law `bytes`: a shard's bytes differ from the mean by at most the tolerance on ei
 row is larger. Rows with an equal key (same text hash and id) stay together.
 
 Defined results: a null text has one byte (its size is its UTF-8 bytes plus 1) and checksum 0; null ids sort first;
-an empty table gives no rows; other columns are carried along unless their name is one of the result's.
+an empty table gives no rows; other columns, whatever their names, are carried along unless their name is one of the
+result's; ids must be whole numbers.
 """
 
 from __future__ import annotations
@@ -21,10 +22,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import free_names, materialize, whole_number
 
 SHARDS = 16
 #: Bytes of text in a bucket (one task of the exchange).
@@ -153,8 +154,8 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
     """`docs` with size, law, shard, slot and grown_shard, its rows laid out by shard and slot."""
     new = ["size", "law", "shard", "slot", "grown_shard"]
     kept = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in new))
-    size = (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
-    h, i = F.xxhash64(F.coalesce(F.col(text), F.lit(""))), F.coalesce(F.col(key).cast("long"), F.lit(LOW + 1))
+    size = (F.coalesce(F.octet_length(F.col(f"`{text}`")), F.lit(0)) + 1).cast("long")
+    h, i = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))), F.coalesce(whole_number(docs, key), F.lit(LOW + 1))
     keys = materialize(kept.select(h.alias("h"), i.alias("i"), size.alias("size")), "shard-keys")
     s = splitters(keys, shards, bucket_bytes, tolerance)
     below = np.concatenate([[0], s.rows])
@@ -165,9 +166,11 @@ def shard(docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int
         b = bucket_of(h.to_numpy(), i.to_numpy(), s.hashes, s.ids)
         return pd.DataFrame({"bucket": b.astype("int32"), "first": first[b]})
 
-    from pyspark.sql import Window
-
-    placed = kept.withColumns({"_h": h, "_i": i, "size": size}).withColumn("_p", place("_h", "_i"))
-    placed = placed.withColumns({"_b": F.col("_p.bucket"), "_f": F.col("_p.first")}).drop("_p").repartitionById(s.shards * s.per_shard, F.col("_b"))
-    slot = F.row_number().over(Window.partitionBy("_b").orderBy("_h", "_i")) - 1 + F.col("_f")
-    return placed.withColumns({"law": F.lit("bytes"), "shard": F.expr(f"_b div {s.per_shard}").cast("int"), "slot": slot.cast("long"), "grown_shard": F.lit(None).cast("int")}).drop("_h", "_i", "_b", "_f")
+    hash_, id_, place_, bucket_, first_ = free_names(docs, 5)
+    placed = kept.withColumns({hash_: h, id_: i, "size": size}).withColumn(place_, place(hash_, id_))
+    placed = placed.withColumns({bucket_: F.col(f"{place_}.bucket"), first_: F.col(f"{place_}.first")}).drop(place_)
+    placed = placed.repartitionById(s.shards * s.per_shard, F.col(bucket_))
+    slot = F.row_number().over(Window.partitionBy(bucket_).orderBy(hash_, id_)) - 1 + F.col(first_)
+    shard_ = F.expr(f"{bucket_} div {s.per_shard}").cast("int")
+    placed = placed.withColumns({"law": F.lit("bytes"), "shard": shard_, "slot": slot.cast("long"), "grown_shard": F.lit(None).cast("int")})
+    return placed.drop(hash_, id_, bucket_, first_)
