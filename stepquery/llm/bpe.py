@@ -87,19 +87,25 @@ def stitch(parts: list[tuple[int, str, np.ndarray]], ends: Callable[[str], np.nd
     parts: (start, text, ends) of the chunks in order. ends: pre-tokenises a text, for chunks that have to be joined.
     """
     pieces, (start, text, cuts) = [], parts[0]
+    need = 2 * len(text)
     for start2, text2, cuts2 in parts[1:]:
-        mine = cuts + start
-        mine = mine[(mine >= start2) & (mine <= start + len(text) - MARGIN)]
-        both = np.intersect1d(mine, np.append(cuts2 + start2, start2))
-        if len(both) and both[0] < start2 + len(text2):
-            at = int(both[0])
+        at = -1
+        if cuts is not None:
+            mine = cuts + start
+            mine = mine[(mine >= start2) & (mine <= start + len(text) - MARGIN)]
+            both = np.intersect1d(mine, np.append(cuts2 + start2, start2))
+            at = int(both[0]) if len(both) and both[0] < start2 + len(text2) else -1
+        if at >= 0:
             pieces.append((start, text[: at - start], cuts[cuts <= at - start]))
             skip = at - start2
             start, text, cuts = at, text2[skip:], cuts2[cuts2 > skip] - skip
+            need = 2 * len(text2)
         else:
+            # joined chunks are cut again only when they have doubled, so a run of any length costs in proportion to it
             text += text2[start + len(text) - start2 :]
-            cuts = ends(text)
-    pieces.append((start, text, cuts))
+            cuts = ends(text) if len(text) >= need else None
+            need = 2 * len(text) if cuts is not None else need
+    pieces.append((start, text, ends(text) if cuts is None else cuts))
     return pieces
 
 
