@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from . import words as words_module
-from .common import as_bytes, materialize, small_batches
+from .common import as_bytes, materialize, small_batches, whole_number
 
 WORDS, PERCENT = 4, 85
 #: Counters of the frequency sketch (log2), fixed whatever the data.
@@ -288,7 +288,7 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(key, n_shingles, component_id), one row per input row."""
     context = docs.sparkSession.sparkContext
-    plain = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
+    plain = docs.select(whole_number(docs, key).alias("doc"), F.col(f"`{text}`").alias("text"))
     scan = materialize(_scan(plain, words), "sets")
     level = context.broadcast(levels(scan))
     rows = scan.where("slot is null").drop("slot", "seen")
@@ -298,6 +298,7 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     index = _index(plain, words, percent, level, common)
     shared = index.groupBy("token").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.max("rank").alias("family")).where("lo < hi").select("token", "family")
     hits = materialize(index.select("token", "s1", "s2", "n").join(shared, "token"), "hits")
+    common.destroy()
     # buckets of one group of near copies may name several members: each takes the highest name that its members know
     known = hits.groupBy("s1", "s2").agg(F.max("family").alias("known"))
     bucket = materialize(hits.join(known, ["s1", "s2"]).groupBy("token").agg(F.max("known").alias("family")), "buckets")
@@ -307,6 +308,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     placed = members.join(parts, "family").withColumn("block", F.pmod("s2", "blocks").cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     families = placed.select("family", "s1", "s2", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(_sets(plain, words, wanted), ["s1", "s2"])
     found = materialize(_verify(families, level, percent).distinct(), "links")
+    for shared in (level, wanted):  # all that needs them is written
+        shared.destroy()
     classes = materialize(rows.where("doc is not null and s1 is not null").groupBy("s1", "s2").agg(F.min("doc").alias("first")), "classes")
     named = classes.select("s1", "s2", "first")
     ends = found.join(named.toDF("a1", "a2", "a"), ["a1", "a2"]).join(named.toDF("b1", "b2", "b"), ["b1", "b2"]).select("a", "b")
