@@ -2,13 +2,15 @@
 
 import base64
 import hashlib
+import time
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from stepquery.llm import audio, bpe, chat, html, quality, shard, warc
+from stepquery.llm import audio, bpe, chat, common, html, quality, shard, warc
 
 from .conftest import ODD, frame, prose
 
@@ -37,6 +39,21 @@ def test_bpe(spark, tiktoken_encoding, chunk, overlap):
     assert sorted(bytes(r["bytes"]) for r in back.collect()) == sorted((t or "").encode() for _, t in TEXTS)
 
 
+def test_stitching_a_run_without_boundaries_is_linear(tiktoken_encoding):
+    tok, cut = bpe.Tokenizer(open(VOCABULARY, "rb").read(), P.PATTERN), 0
+
+    def ends(text):
+        nonlocal cut
+        cut += len(text)
+        return tok.ends(text)
+
+    text = "a" * 200_000 + " b c d" * 50
+    parts = [(s, x, tok.ends(x)) for s, x in bpe.chunks_of(text, 1000, 50)]
+    pieces = bpe.stitch(parts, ends)
+    assert cut < 4 * len(text) and "".join(p[1] for p in pieces) == text
+    assert [int(e + s) for s, _, es in pieces for e in es] == tok.ends(text).tolist()
+
+
 def test_bpe_digest(spark, tiktoken_encoding):
     for r in bpe.encode(frame(spark, [(i, t) for i, t in TEXTS if i not in (None, 907)]), VOCABULARY, P.PATTERN, result="digest", chunk=300, overlap=30).collect():
         text = dict(TEXTS)[r.doc_id] or ""
@@ -66,6 +83,14 @@ def test_shards(spark, per, rows):
     assert all(r["size"] == len((r.text or "").encode()) + 1 and r.law == "bytes" and r.grown_shard is None for r in got)
 
 
+def test_shards_keep_columns_of_any_name(spark):
+    df = spark.createDataFrame([(i, prose(i, 9), 1, 2, 3, 4, 5) for i in range(20)], "doc_id int, text string, _h int, _i int, _b int, _0_1 int, _p int")
+    out = shard.shard(df, shards=3)
+    assert out.columns[:7] == df.columns and {(r._h, r._i, r._b, r._0_1, r._p) for r in out.collect()} == {(1, 2, 3, 4, 5)}
+    with pytest.raises(TypeError, match="whole numbers"):
+        shard.shard(spark.createDataFrame([("a", "b")], "doc_id string, text string"))
+
+
 def test_shards_empty(spark):
     assert shard.shard(frame(spark, [])).count() == 0
     assert [r.slot for r in shard.shard(frame(spark, [(1, None)])).collect()] == [0]
@@ -104,6 +129,14 @@ def test_warc(spark, tmp_path):
     assert warc.read(warc.write(df.limit(0), f"file://{tmp_path}/b")).count() == 0
 
 
+def test_every_archive_is_read_by_a_task(spark, tmp_path):
+    df = spark.createDataFrame([(i, "u", prose(i, 300)) for i in range(200)], "page_id long, url string, html string").repartition(4)
+    archives = warc.write(df, f"file://{tmp_path}/a", archive_bytes=20_000)
+    n = archives.count()
+    parts = warc.read(archives).withColumn("p", F.spark_partition_id()).groupBy("p").agg(F.sum(F.length("payload")).alias("n")).collect()
+    assert n > 8 and len(parts) == n and max(r.n for r in parts) < 40_000
+
+
 def test_records_are_separate_frames(tmp_path):
     import zstandard
 
@@ -124,6 +157,27 @@ def test_records_are_separate_frames(tmp_path):
     assert frames == data and len(raw) < sum(map(len, data))
 
 
+# -- shared folder ----------------------------------------------------------------------------------------------------
+def test_scratch_tables_go(spark):
+    with common.scratch(spark):
+        gone, kept = (common.materialize(spark.range(3), "scratch-test", keep=k) for k in (False, True))
+        assert gone.count() == kept.count() == 3
+        files = gone.inputFiles()
+    assert kept.count() == 3
+    path = spark._jvm.org.apache.hadoop.fs.Path(files[0])
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_no_local_folder_on_a_cluster():
+    class Session:
+        conf = {"spark.master": "spark://host:7077"}
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_root(Session)
+    Session.conf = {"spark.master": "local[2]"}
+    assert common.shared_root(Session) == common.LOCAL_ROOT
+
+
 # -- HTML -------------------------------------------------------------------------------------------------------------
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>var t="</p>";</script></head><body class="x">
 <header><h2>Site</h2></header><nav><ul><li><a href=a>Menu</a></ul></nav><!-- <p>no</p> --><div class="ad">Buy</div><div id="cookie-notice">Cookies?</div>
@@ -161,6 +215,50 @@ def test_dropped_elements_end(page, text):
     assert html.extract(page, None) == text
 
 
+def test_the_heading_of_an_article_is_text():
+    inside = '<header class="page-header">Site</header><article><header class="entry-header"><h1 class="header">Title</h1></header><p>a</p><div class="share-box">no</div><footer>no</footer></article>'
+    assert html.extract(inside, None) == "Title a"
+    assert html.extract('<div><h2 class="post-header">Head</h2><div class="header">no</div><p>text of some length</p></div>', None) == "Head text of some length"
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<a " * 350_000, "<a " * 350_000 + ">", '<a "' * 250_000, "<a \">\"" * 200_000, "<script>" + "</script " * 100_000, "<b>" * 50_000 + "<h1></h1>" * 50_000, "<div>" * 100_000 + "</x>" * 100_000, "<nav><svg>" + "<i>" * 90_000, "<ul>" * 50_000 + "<li>" * 50_000, "<!-- " * 200_000],
+    ids=["open", "last closes", "quotes", "quoted ends", "raw", "scopes", "unknown ends", "foreign", "lists", "comments"],
+)
+def test_hostile_pages_take_linear_time(page):
+    began = time.process_time()
+    html.extract(page, "/html/body/div")
+    assert time.process_time() - began < 30
+
+
+def test_deep_pages_take_little_memory():
+    import tracemalloc
+
+    tracemalloc.start()
+    assert html.extract("<div>" * 100_000 + "deep text", None) == "deep text"
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 200 << 20
+
+
+def test_consensus_equals_a_plain_count(spark, sf_dir):
+    rows = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html").collect()[:120]
+    rows = [(r.page_id, f"http://h{r.page_id % 7}.example/", r.html.replace("<article>", f'<div class="c{"x" * (r.page_id % 3)} n{r.page_id}">') if r.page_id % 5 else r.html) for r in rows]
+    votes: dict = {}
+    for i, _, x in rows:
+        page = html.parse(x)
+        choice, weight = html.best(page)
+        if choice >= 0:
+            of = votes.setdefault(f"h{i % 7}.example", {})
+            of[page.path(choice)] = of.get(page.path(choice), 0) + weight
+    want = {h: max(v, key=lambda p: (round(v[p], 6), p)) for h, v in votes.items()}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    assert {r.host: r.path for r in html.consensus(df).collect()} == want and len(want) == 7
+    got = {r.page_id: r.text for r in html.main_text(df).collect()}
+    assert got == {i: html.extract(x, want[f"h{i % 7}.example"]) for i, _, x in rows}
+
+
 def test_consensus(spark):
     pages = [(i, "http://Host.example:80/a", PAGE % i) for i in range(6)]
     # alone, the other box would win on this page; its host knows better
