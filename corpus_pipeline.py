@@ -1,8 +1,12 @@
 """The training corpus pipeline: documents in, tokenised clean documents out.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of its predecessor; `run` writes every stage's result as
-Parquet to the shared folder and reads it again as the next one's input. All stages but the last return the columns of
-`documents`.
+Parquet to the shared folder and reads it again as the next one's input; a stage's own intermediate tables are deleted
+when its result is written. All stages but the last return the columns of `documents`, and others that they were given.
+
+Defined results: a document with a null, empty or blank text scores 0 and goes with the first stage; of repeated rows of
+one id one stays; rows with a null id come last in line dedup, are linked with nothing, and stay; `n_chars`, where there
+is one, follows the text; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepquery.llm import bpe, decontaminate, jaccard_join, line_dedup, quality
-from stepquery.llm.common import materialize, table
+from stepquery.llm.common import materialize, scratch, table
 
 #: Near copies in the pipeline: five words and a similarity of 0.8.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
@@ -27,8 +31,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later repeated runs of lines go; a document of which nothing is left goes with them."""
     kept = line_dedup.dedup(docs)
-    n_chars = F.when(F.col("words_deleted") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return kept.where("words_deleted = 0 or text <> ''").withColumn("n_chars", n_chars).select(*docs.columns)
+    kept = kept.where("words_deleted = 0 or text <> ''")
+    if "n_chars" in docs.columns:
+        now = F.length("text").cast(docs.schema["n_chars"].dataType)
+        kept = kept.withColumn("n_chars", F.when(F.col("words_deleted") > 0, now).otherwise(F.col("n_chars")))
+    return kept.select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +55,13 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN, result="digest")
 
 
-STAGES = [("quality", quality_classifier), ("line dedup", lines), ("near copies", near_copies), ("decontamination", benchmark_leaks), ("tokens", tokens)]
+STAGES = [
+    ("quality", quality_classifier),
+    ("line dedup", lines),
+    ("near copies", near_copies),
+    ("decontamination", benchmark_leaks),
+    ("tokens", tokens),
+]
 #: SQL cannot express the stages; tests hold line dedup and near copies against brute force, and the others in parts.
 ORACLE_SQL = None
 
@@ -56,5 +69,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"), keep=True)
     return docs
