@@ -5,10 +5,12 @@ items. Every document is cut into passages that overlap by half, each at least t
 item lies whole in one of them. A passage is a query of all its words. An item is retrieved when its BM25 score reaches
 SHARE of the score it gets from its own words.
 
-Retrieval is block-max WAND worked on many passages at once: the impacts of an item's most frequent terms that together
-stay below its threshold are not looked up (no item can reach its threshold with them alone); the other terms' impacts
-are added for each passage and block of items; blocks whose bound cannot reach the least threshold in them are skipped;
-what is left is scored exactly. So all items above the threshold are found, and no others.
+Retrieval is block-max WAND worked on many passages at once instead of cursor by cursor. In place of a pivot for each
+query, an item's most frequent terms whose impacts together stay below its threshold have no postings (no item can reach
+its threshold with them alone). The other terms' largest impacts, kept only for the blocks of items that hold the term,
+are added for each passage and block; blocks whose bound cannot reach the least threshold in them are skipped; what is
+left is scored exactly. So all items above the threshold are found, and no others. The index grows with the items' words
+alone, and the bounds are made for so many passages at once that they take TILE numbers.
 
 A retrieved item is verified: the word shingles of its question (all sentences but the last) and of its answer (the last
 one, and those before it while it has fewer words than a shingle) must each occur in the passage to OVERLAP or more.
@@ -16,7 +18,7 @@ one, and those before it while it has fewer words than a shingle) must each occu
 Defined results: words are runs of characters between white space and ASCII punctuation, in lower case; a null or empty
 text holds nothing; an item without words matches nothing; an item that cannot be divided so is
 question and answer at once, and one shorter than a shingle is one shingle; repeated rows give repeated results in `find` and share their fate in
-`clean`; with an empty benchmark nothing is found; other columns are carried along by `clean`.
+`clean`; with an empty benchmark nothing is found; other columns are carried along by `clean`; ids may be of any type.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import as_strings, materialize, small_batches
 
@@ -43,6 +46,8 @@ HALF = 64
 #: Bytes of items that are indexed and broadcast at once; a larger benchmark is worked through part by part, with the
 #: document frequencies, mean length and longest item of the whole.
 PART_BYTES = 16 << 20
+#: Bounds (of a passage for a block of items) that are held at once.
+TILE = 1 << 20
 TABLE = bytes(32 if chr(c) in string.punctuation or c < 33 else c for c in range(256))
 
 
@@ -79,7 +84,10 @@ class Index:
     start: np.ndarray  # postings of each term that are looked up
     item: np.ndarray
     impact: np.ndarray
-    block: np.ndarray  # (term, block): largest impact
+    block_start: np.ndarray  # blocks of each term that hold it,
+    block: np.ndarray
+    most: np.ndarray  # and its largest impact there
+    need: np.ndarray  # least threshold of each block, less what is not looked up
     parts: list[tuple[set, set]]
     half: int
 
@@ -116,62 +124,85 @@ def index(items: list[tuple[object, str]], whole: Whole | None = None) -> Index:
     for i, o in enumerate(own):
         for t in postings[("on", i)]:
             looked[t].append((i, o[t]))
-    flat = [p for ps in looked for p in ps]
-    block = np.zeros((len(terms), max(1, -(-len(own) // BLOCK))), np.float32)
-    for t, ps in enumerate(looked):
+    tops: list[dict[int, float]] = []
+    for ps in looked:
+        tops.append({})
         for i, x in ps:
-            block[t, i // BLOCK] = max(block[t, i // BLOCK], x)
-    question = [tuple(shingles(words_of(p)) for p in parts(t or "")) for _, t in items]
-    return Index([i for i, _ in items], terms, own, least, skipped, np.cumsum([0, *map(len, looked)]), np.array([p[0] for p in flat], np.int64), np.array([p[1] for p in flat]), block, question, max(HALF, whole.longest if whole else int(length.max(initial=0))))
+            tops[-1][i // BLOCK] = max(tops[-1].get(i // BLOCK, 0.0), x)
+    flat, tall = [p for ps in looked for p in ps], [p for ps in tops for p in ps.items()]
+    return Index(
+        [i for i, _ in items],
+        terms,
+        own,
+        least,
+        skipped,
+        np.cumsum([0, *map(len, looked)]),
+        np.array([p[0] for p in flat], np.int64),
+        np.array([p[1] for p in flat], np.float64),
+        np.cumsum([0, *map(len, tops)]),
+        np.array([p[0] for p in tall], np.int64),
+        np.array([p[1] for p in tall], np.float64),
+        np.array([(least - skipped)[b : b + BLOCK].min() for b in range(0, len(own), BLOCK)]),
+        [tuple(shingles(words_of(p)) for p in parts(t or "")) for _, t in items],
+        max(HALF, whole.longest if whole else int(length.max(initial=0))),
+    )
 
 
 def _score(own: dict[int, float], passage: np.ndarray) -> float:
     return sum(own.get(t, 0.0) for t in np.unique(passage).tolist())
 
 
-def search(x: Index, ids: list[np.ndarray]) -> list[tuple[int, int, int, float]]:
+def _ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one range after the other."""
+    return np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+
+
+def search(x: Index, ids: list[np.ndarray], tile: int = TILE) -> list[tuple[int, int, int, float]]:
     """(document, first word, item, score) of every passage and item at or above the item's threshold. ids: term of each word, -1: none."""
+    blocks = len(x.need)
+    if not blocks or not ids or not x.terms:
+        return []
     halves = [max(1, -(-len(t) // x.half)) for t in ids]
     base = np.concatenate([[0], np.cumsum([n + 1 for n in halves])])  # one empty half behind each document
-    cell = np.concatenate([b + np.arange(len(t)) // x.half for b, t in zip(base, ids, strict=False)]) if ids else np.zeros(0, np.int64)
-    term = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-    ok = term >= 0
-    cell, term = cell[ok], term[ok]
-    n, blocks = int(base[-1]), x.block.shape[1]
-    # a word that repeats within a half counts once there
-    key = np.unique(cell * len(x.terms) + term)
-    cell, term = key // max(1, len(x.terms)), key % max(1, len(x.terms))
-    spread = x.start[term + 1] - x.start[term]
-    cell, term = cell[spread > 0], term[spread > 0]
-    # largest impacts first: the bound of each (half, block)
-    bound = np.zeros((n, blocks), np.float32)
-    for b in range(blocks):
-        bound[:, b] = np.bincount(cell, x.block[term, b], n)
-    pair = bound[:-1] + bound[1:]
-    need = np.array([(x.least - x.skipped)[b * BLOCK : (b + 1) * BLOCK].min() for b in range(blocks)])
-    live = pair >= need * 0.999
-    out = []
+    cell = np.concatenate([b + np.arange(len(t)) // x.half for b, t in zip(base, ids, strict=False)])
+    term = np.concatenate(ids)
+    # a word that repeats within a half counts once there; the halves are in order
+    key = np.unique(cell[term >= 0] * len(x.terms) + term[term >= 0])
+    cell, term = key // len(x.terms), key % len(x.terms)
+    held = x.start[term + 1] > x.start[term]
+    cell, term = cell[held], term[held]
+    out, step = [], max(1, tile // blocks)
+    for low in range(0, int(base[-1]) - 1, step):  # passages low to high, each of two halves
+        n = min(step, int(base[-1]) - 1 - low)
+        a, b = np.searchsorted(cell, [low, low + n + 1])
+        for h, i in _candidates(x, cell[a:b] - low, term[a:b], n):
+            doc = int(np.searchsorted(base, h + low, "right")) - 1
+            first = (int(h) + low - int(base[doc])) * x.half
+            score = _score(x.own[i], ids[doc][first : first + 2 * x.half])
+            if x.own[i] and score >= x.least[i] * (1 - 1e-9):
+                out.append((doc, first, int(i), score))
+    return out
+
+
+def _candidates(x: Index, cell: np.ndarray, term: np.ndarray, n: int):
+    """(passage, item) of the items that may reach their thresholds, among n passages: halves k and k + 1."""
+    blocks = len(x.need)
+    size = x.block_start[term + 1] - x.block_start[term]
+    where = _ranges(x.block_start[term], size)
+    bound = np.bincount(np.repeat(cell, size) * blocks + x.block[where], x.most[where], (n + 1) * blocks).reshape(n + 1, blocks)
+    live = bound[:-1] + bound[1:] >= x.need * 0.999
     for b in np.nonzero(live.any(0))[0]:
-        use = np.zeros(n, bool)
-        at = np.nonzero(live[:, b])[0]
+        use, at = np.zeros(n + 1, bool), np.nonzero(live[:, b])[0]
         use[at] = use[at + 1] = True
-        sel = use[cell] & (x.block[term, b] > 0)
-        c, t = cell[sel], term[sel]
+        c, t = cell[use[cell]], term[use[cell]]
         size = x.start[t + 1] - x.start[t]
-        where = np.repeat(x.start[t] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        where = _ranges(x.start[t], size)
         item, c = x.item[where], np.repeat(c, size)
-        mine = item // BLOCK == b
-        width = min(BLOCK, len(x.own) - b * BLOCK)
-        sums = np.bincount(c[mine] * width + item[mine] - b * BLOCK, x.impact[where[mine]], n * width).reshape(n, width)
-        both = sums[:-1] + sums[1:]
-        for h, i in zip(*np.nonzero(both >= (x.least - x.skipped)[b * BLOCK : b * BLOCK + width] * 0.999), strict=True):
-            doc, i = int(np.searchsorted(base, h, "right")) - 1, int(i) + int(b) * BLOCK
-            first = (int(h) - int(base[doc])) * x.half
-            passage = ids[doc][first : first + 2 * x.half]
-            score = _score(x.own[i], passage)
-            if x.own[i] and score >= x.least[i] * (1 - 1e-9):
-                out.append((doc, first, i, score))
-    return out
+        mine, width = item // BLOCK == b, min(BLOCK, len(x.own) - b * BLOCK)
+        sums = np.bincount(c[mine] * width + item[mine] - b * BLOCK, x.impact[where[mine]], (n + 1) * width).reshape(n + 1, width)
+        enough = sums[:-1] + sums[1:] >= (x.least - x.skipped)[b * BLOCK : b * BLOCK + width] * 0.999
+        for h, i in zip(*np.nonzero(enough), strict=True):
+            yield h, i + b * BLOCK
 
 
 def leaks(x: Index, texts: list[str | None]) -> list[tuple[int, object, float, float, float]]:
@@ -233,7 +264,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     """(key, item, bm25, question_overlap, answer_overlap) of every contaminated document; no shuffle."""
     plain = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kinds = plain.schema["key"].dataType.simpleString(), benchmark.schema[item].dataType.simpleString()
-    item_type = pa.int64() if kinds[1] == "bigint" else pa.int32() if kinds[1] == "int" else pa.string()
+    item_type = to_arrow_type(benchmark.schema[item].dataType)
     schema = f"key {kinds[0]}, item {kinds[1]}, bm25 double, question_overlap double, answer_overlap double"
     found = None
     for shared in _indexes(benchmark, item, item_text, part_bytes):

@@ -1,6 +1,8 @@
 """Jaccard join, line dedup and decontamination against brute force."""
 
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -250,6 +252,47 @@ def test_search_equals_brute_force(items):
     assert {(d, f, i) for d, f, i, _ in decontaminate.search(x, ids)} == want and want
 
 
+def brute_find(docs, items):
+    """Every passage against every item, by the formulas alone."""
+    bags = [Counter(decontaminate.words_of(t or "")) for _, t in items]
+    df, sizes = Counter(w for b in bags for w in b), [sum(b.values()) for b in bags]
+    mean, half = max(1.0, sum(sizes) / len(sizes)), max(decontaminate.HALF, *sizes)
+    own = [{w: math.log(1 + (len(bags) - df[w] + 0.5) / (df[w] + 0.5)) * n * 2.2 / (n + 1.2 * (0.25 + 0.75 * s / mean)) for w, n in b.items()} for b, s in zip(bags, sizes, strict=True)]
+    out = {}
+    for d, text in docs:
+        w = decontaminate.words_of(text or "")
+        for first in range(0, max(1, len(w)), half):
+            passage, near = set(w[first : first + 2 * half]), w[max(0, first - half) : first + 3 * half]
+            for (item, t), o in zip(items, own, strict=True):
+                score = sum(x for v, x in o.items() if v in passage)
+                if o and score >= sum(o.values()) / 2 * (1 - 1e-9):
+                    q, a = (len(p & decontaminate.shingles(near, min(5, len(next(iter(p)))))) / len(p) for p in map(decontaminate.shingles, map(decontaminate.words_of, decontaminate.parts(t))))
+                    if q >= 0.8 and a >= 0.8:
+                        out[d, item] = max(out.get((d, item), (0, 0, 0)), (score, q, a))
+    return out
+
+
+def test_find_equals_brute_force(spark, items):
+    short = [(100, "ends here. now"), (101, "ba"), (102, None), (103, ""), (104, items[3][1] + " " + items[4][1])]
+    bench = [*items, *short]
+    docs = [(i, spread(bench[i % len(bench)][1] or "", prose(7500 + i, 40 + 9 * i), 7 * i % 40)) for i in range(60)] + [x for x in ODD if x[0] not in (None, 907)]
+    want = brute_find(docs, bench)
+    table = spark.createDataFrame(bench, "item_id short, text string")
+    for part_bytes, n in ((decontaminate.PART_BYTES, 1), (2000, 3), (700, 2)):
+        found = decontaminate.find(frame(spark, docs).repartition(n), table, part_bytes=part_bytes).collect()
+        got = {(r.doc_id, r.item_id): (r.bm25, r.question_overlap, r.answer_overlap) for r in found}
+        assert got.keys() == want.keys() and len(want) > 30 and len(found) == len(got)
+        assert all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
+def test_bounds_by_tiles(items):
+    x = decontaminate.index(items)
+    ids = [np.array([x.terms.get(w, -1) for w in decontaminate.words_of(prose(6100 + i, 400) + items[i][1])], np.int64) for i in range(9)]
+    small, some, all_ = (sorted(decontaminate.search(x, ids, tile=t)) for t in (1, 7, decontaminate.TILE))
+    assert small == some == all_ != []
+    assert len(x.block) <= len(x.item)
+
+
 def test_no_benchmark_finds_nothing(spark):
     df = frame(spark, [(1, "text of some words")])
     assert decontaminate.find(df, spark.createDataFrame([], "item_id long, text string")).columns == ["doc_id", "item_id", "bm25", "question_overlap", "answer_overlap"]
@@ -266,7 +309,7 @@ def test_a_block_repeated_in_one_document_only(spark):
     assert by[3].text.startswith(rows[2][1][:80]) and by[3].text.endswith(rows[2][1][-80:])
 
 
-def brute_runs(rows, least=32):
+def brute_runs(rows, least=line_dedup.MIN_WORDS):
     """Words that are left of each row, and how many go: every run of at least `least` words that occurs earlier by (id, position)."""
     at, split = {}, [(t or "").encode().split() for _, t in rows]
     place = [(i is None, i or 0) for i, _ in rows]
@@ -282,9 +325,9 @@ def brute_runs(rows, least=32):
 
 
 def cut_corpus():
-    """Passages of 30 to 70 words in the middle of lines, twice in a text, back to back, and inside copies with edits."""
+    """Passages of 22 to 70 words in the middle of lines, twice in a text, back to back, and inside copies with edits."""
     r, rows = random.Random(5), []
-    for k, n in enumerate((30, 31, 32, 33, 40, 51, 51, 51, 51, 55, 60, 70)):
+    for k, n in enumerate((22, 23, 24, 25, 30, 40, 51, 51, 51, 51, 55, 60, 70)):
         for j in range(3):
             rows.append((10 * k + j, spread(prose(700 + k, n), prose(800 + 10 * k + j, 150), r.randrange(150))))
     base = prose(61, 400)
