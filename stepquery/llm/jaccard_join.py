@@ -12,10 +12,12 @@ counted exactly.
 
 Only links between different components are looked for: a family starts with its most central member, which joins most
 of a group of near copies at once, and pairs that are already connected are passed over. A family of more than
-FAMILY_TOKENS is dealt out in blocks that meet pairwise, so no task holds an unbounded group. No link between different
-components is lost; the work within one family of near copies that do not resemble its centre still grows with the
-square of its blocks. Components are then joined by alternating large-star and small-star steps, each written to the
-shared folder.
+FAMILY_TOKENS or FAMILY_MEMBERS is dealt out in blocks, so no task holds an unbounded group: first every block meets the
+family's centre alone, which costs in proportion to its size; then the members that are not linked to it (the rest) are
+dealt out in blocks of their own, which meet each other and all other blocks pairwise. Members that are linked to the
+centre need not meet, they are connected. No link between different components is lost; the work within one family grows
+with the square of its rest only. Components are then joined by alternating large-star and small-star steps, each written
+to the shared folder.
 
 Defined results: A-Z are lower-cased and words are split at ASCII white space; a text with fewer words than n is one
 shingle; a null, empty or blank text has an empty set and is linked with nothing; rows with a null id are returned with
@@ -38,8 +40,8 @@ from .common import as_bytes, materialize, small_batches, whole_number
 WORDS, PERCENT = 4, 85
 #: Counters of the frequency sketch (log2), fixed whatever the data.
 SKETCH = 20
-#: Tokens of a family (or of one of its blocks) in one task.
-FAMILY_TOKENS = 2_000_000
+#: Tokens and members of a family (or of one of its blocks) in one task.
+FAMILY_TOKENS, FAMILY_MEMBERS = 2_000_000, 256
 #: Removed ids of up to so many bytes are broadcast; more are joined by a shuffle.
 BROADCAST = 32 << 20
 #: Digests of equal sets that a task remembers.
@@ -266,6 +268,49 @@ def _verify(families: DataFrame, level, percent: int) -> DataFrame:
     return families.groupBy("family", "low", "high").applyInArrow(run, "a1 long, a2 long, b1 long, b2 long")
 
 
+def _to_centre(sets: DataFrame, percent: int) -> DataFrame:
+    """(family, s1, s2, c1, c2, linked): whether each set is similar to its family's centre. sets: also tokens and centre."""
+
+    def run(batches):
+        for batch in small_batches(batches, 256):
+            linked = []
+            for x, c in zip(batch["tokens"].to_pylist(), batch["centre"].to_pylist(), strict=True):
+                a, b = np.frombuffer(x, np.uint64), np.frombuffer(c, np.uint64)
+                at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+                linked.append(bool(similar(np.count_nonzero(b[at] == a), len(a), len(b), percent)))
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("family", "s1", "s2", "c1", "c2")), pa.array(linked, pa.bool_())], names=["family", "s1", "s2", "c1", "c2", "linked"])
+
+    return sets.mapInArrow(run, "family long, s1 long, s2 long, c1 long, c2 long, linked boolean")
+
+
+def blocks_of(tokens: F.Column, members: F.Column) -> F.Column:
+    """In how many blocks so many tokens of so many members are dealt out."""
+    return F.greatest(F.ceil(tokens / FAMILY_TOKENS), F.ceil(members / FAMILY_MEMBERS), F.lit(1)).cast("long")
+
+
+def _large(plain: DataFrame, words: int, big: DataFrame, level, percent: int) -> DataFrame:
+    """Links (a1, a2, b1, b2) within families of several blocks. big: (family, s1, s2, n, blocks)."""
+    context = plain.sparkSession.sparkContext
+    named = F.expr("shiftrightunsigned(s1, 16) = (family & 281474976710655)").alias("named")  # the member that the family is called after
+    centres = big.groupBy("family").agg(F.max(F.struct(named, "s1", "s2")).alias("c")).select("family", F.col("c.s1").alias("c1"), F.col("c.s2").alias("c2"))
+    wanted = context.broadcast(bloom.build(big.select("s1").distinct(), "s1"))
+    sets = materialize(big.join(_sets(plain, words, wanted), ["s1", "s2"]), "large-sets")
+    wanted.destroy()
+    own = centres.join(sets, (centres["family"] == sets["family"]) & (F.col("c1") == F.col("s1")) & (F.col("c2") == F.col("s2")))
+    # a centre meets each block of its family in a task of its own
+    spread = own.select(centres["family"], "c1", "c2", F.col("tokens").alias("centre"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+    judged = materialize(_to_centre(sets.withColumn("block", F.pmod("s2", "blocks")).join(spread.hint("shuffle_hash"), ["family", "block"]), percent), "to-centre")
+    to_centre = judged.where("linked and (s1 <> c1 or s2 <> c2)").select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("s1").alias("b1"), F.col("s2").alias("b2"))
+    sized = sets.select("family", "s1", "s2", "n").join(judged.select("family", "s1", "s2", "linked"), ["family", "s1", "s2"])
+    count = lambda of: blocks_of(F.sum(F.when(of, F.col("n")).otherwise(0)), F.count_if(of))
+    dealt = sized.groupBy("family").agg(F.count_if(~F.col("linked")).alias("left"), count(~F.col("linked")).alias("rest"), count(F.col("linked")).alias("near")).where("left > 0").drop("left")
+    block = F.when(F.col("linked"), F.col("rest") + F.pmod("s2", "near")).otherwise(F.pmod("s2", "rest"))
+    meets = F.when(F.col("linked"), F.col("rest")).otherwise(F.col("rest") + F.col("near"))
+    placed = sized.join(dealt, "family").select("family", "s1", "s2", block.alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), meets - 1)).alias("other"))
+    placed = placed.select("family", "s1", "s2", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return to_centre.unionByName(_verify(placed.join(sets.select("family", "s1", "s2", "tokens"), ["family", "s1", "s2"]), level, percent))
+
+
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each node's component, for nodes with an edge (a, b) to another one."""
     step, last = materialize(edges.where("a <> b").distinct(), "edges"), None
@@ -303,11 +348,16 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     known = hits.groupBy("s1", "s2").agg(F.max("family").alias("known"))
     bucket = materialize(hits.join(known, ["s1", "s2"]).groupBy("token").agg(F.max("known").alias("family")), "buckets")
     members = materialize(hits.drop("family").join(bucket, "token").groupBy("family", "s1", "s2").agg(F.first("n").alias("n")), "members")
-    parts = members.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY_TOKENS).cast("long").alias("blocks"))
-    wanted = context.broadcast(bloom.build(members.select("s1").distinct(), "s1"))
-    placed = members.join(parts, "family").withColumn("block", F.pmod("s2", "blocks").cast("long")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    families = placed.select("family", "s1", "s2", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")).join(_sets(plain, words, wanted), ["s1", "s2"])
-    found = materialize(_verify(families, level, percent).distinct(), "links")
+    parts = members.groupBy("family").agg(blocks_of(F.sum("n"), F.count("*")).alias("blocks"))
+    sizes = materialize(members.join(parts, "family"), "families")
+    small, big = sizes.where("blocks = 1"), sizes.where("blocks > 1")
+    wanted = context.broadcast(bloom.build(small.select("s1").distinct(), "s1"))
+    one = F.lit(0).cast("long")
+    families = small.select("family", "s1", "s2", one.alias("block"), one.alias("low"), one.alias("high")).join(_sets(plain, words, wanted), ["s1", "s2"])
+    found = _verify(families, level, percent)
+    if not big.isEmpty():
+        found = found.unionByName(_large(plain, words, big, level, percent))
+    found = materialize(found.distinct(), "links")
     for shared in (level, wanted):  # all that needs them is written
         shared.destroy()
     classes = materialize(rows.where("doc is not null and s1 is not null").groupBy("s1", "s2").agg(F.min("doc").alias("first")), "classes")

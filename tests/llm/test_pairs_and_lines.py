@@ -60,8 +60,10 @@ def test_components(spark, corpus, n, percent):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == brute(corpus, n, percent)
 
 
-def test_blocks_lose_no_link(spark, corpus, monkeypatch):
-    monkeypatch.setattr(jaccard_join, "FAMILY_TOKENS", 900)
+@pytest.mark.parametrize(("tokens", "members"), [(900, 256), (2_000_000, 3), (300, 1)])
+def test_blocks_lose_no_link(spark, corpus, monkeypatch, tokens, members):
+    monkeypatch.setattr(jaccard_join, "FAMILY_TOKENS", tokens)
+    monkeypatch.setattr(jaccard_join, "FAMILY_MEMBERS", members)
     got = jaccard_join.components(frame(spark, corpus, False)).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == brute(corpus, 4, 85)
 
