@@ -41,7 +41,7 @@ WORDS, PERCENT = 4, 85
 #: Counters of the frequency sketch (log2), fixed whatever the data.
 SKETCH = 20
 #: Tokens and members of a family (or of one of its blocks) in one task.
-FAMILY_TOKENS, FAMILY_MEMBERS = 2_000_000, 256
+FAMILY_TOKENS, FAMILY_MEMBERS = 2_000_000, 2048
 #: Removed ids of up to so many bytes are broadcast; more are joined by a shuffle.
 BROADCAST = 32 << 20
 #: Digests of equal sets that a task remembers.
