@@ -4,8 +4,10 @@ For every participant of a dialogue the whole dialogue is rendered once with tha
 speakers as named users, and a training mask over the assistant's own words. The result has one row per perspective and
 turn: the rendered message, its character span in the dialogue, and the span that the mask covers. The messages of a
 perspective in order of `pos`, put together, are the dialogue; no dialogue is ever gathered into one row or task, so one
-that holds a third of all turns costs no more than as many small ones: offsets are running sums in two steps, within
-blocks of BLOCK turns and over the blocks' totals, and the join of turns with participants can be split anywhere.
+that holds a third of all turns costs no more than as many small ones: offsets are running sums in three steps, within a
+cell (rows of one turn and speaker whose texts begin alike), over the cells of BLOCK turn numbers, and over those runs.
+Full rows meet only within their cell, so a dialogue of null or equal turns is split as well; the sums over cells see one
+slim row a cell. The join of turns with participants can be split anywhere.
 
 Defined results: turns are in order of turn, speaker, text (null turns first); equal rows each take a place of their own;
 a null text is empty; a null role is the speaker `unknown`; null conversation ids form one dialogue; the system's turns
@@ -20,34 +22,52 @@ from pyspark.sql import functions as F
 
 SYSTEM = "system"
 BLOCK = 1024
+#: Characters of a text that, behind turn and speaker, tell the cells of a dialogue apart; any number keeps the order.
+PREFIX = 8
 START, END = "<|im_start|>", "<|im_end|>"
 
 
+def _before(sums: DataFrame, of: F.Column, order: str) -> DataFrame:
+    """`sums` with _at and _pos, the lengths and rows of all that come earlier."""
+    earlier = Window.partitionBy(of).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.withColumns({"_at": F.coalesce(F.sum("_len").over(earlier), F.lit(0)), "_pos": F.coalesce(F.sum("_rows").over(earlier), F.lit(0))})
+
+
 def rotate(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn", speaker: str = "role", text: str = "text", block: int = BLOCK) -> DataFrame:
     """conv_id, perspective, pos, turn, role, name, message, char_start, char_end, mask_start, mask_end."""
     clean = F.replace(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit(START), F.lit("< |im_start|>")), F.lit(END), F.lit("< |im_end|>"))
     said = turns.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), F.coalesce(F.col(speaker), F.lit("unknown")).alias("speaker"), clean.alias("body"))
     people = said.where(F.col("speaker") != SYSTEM).groupBy(F.col("conv_id").alias("_c"), F.col("speaker").alias("perspective")).agg(F.count("*").alias("_n")).drop("_n")
-    seen = said.join(people, F.col("conv_id").eqNullSafe(F.col("_c"))).drop("_c")
-    own, name = F.col("speaker") == F.col("perspective"), F.translate("speaker", "\n<>|", "____")
-    role = F.when(own, "assistant").when(F.col("speaker") == SYSTEM, SYSTEM).otherwise("user")
-    head = F.when(F.col("role") == "user", F.concat(F.lit(f"{START}user name="), name, F.lit("\n"))).otherwise(F.concat(F.lit(START), F.col("role"), F.lit("\n")))
-    seen = seen.withColumn("role", role).withColumn("_head", F.length(head)).withColumns(
-        {"name": F.when(F.col("role") == "user", name), "message": F.concat(head, F.col("body"), F.lit(f"{END}\n")), "_block": F.coalesce(F.floor(F.col("turn") / block), F.lit(-1))}
-    )
-    dialogue = ["conv_id", "perspective"]
-    totals = seen.groupBy(*dialogue, "_block").agg(F.sum(F.length("message")).alias("_len"), F.count("*").alias("_rows"))
-    before = Window.partitionBy(*dialogue).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select(*(F.col(c).alias(f"_{c}") for c in dialogue), F.col("_block").alias("_b"), F.coalesce(F.sum("_len").over(before), F.lit(0)).alias("_at"), F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_pos"))
-    same = F.col("conv_id").eqNullSafe(F.col("_conv_id")) & (F.col("perspective") == F.col("_perspective")) & (F.col("_block") == F.col("_b"))
-    inside = Window.partitionBy(*dialogue, "_block").orderBy("turn", "speaker", "body")
-    placed = seen.join(base, same).withColumns(
-        {"pos": F.col("_pos") + F.row_number().over(inside) - 1, "char_end": F.col("_at") + F.sum(F.length("message")).over(inside.rowsBetween(Window.unboundedPreceding, 0))}
-    )
-    start = F.col("char_end") - F.length("message")
-    masked = F.col("role") == "assistant"
+    cell = F.struct("conv_id", "perspective", "turn", "speaker", F.substring("body", 1, PREFIX).alias("begin"))
+    seen = said.join(people, F.col("conv_id").eqNullSafe(F.col("_c"))).select(cell.alias("_cell"), "body")
+    # all else follows from these two columns, so nothing else is shuffled
+    who, by = F.col("_cell.perspective"), F.col("_cell.speaker")
+    role = F.when(by == who, "assistant").when(by == SYSTEM, SYSTEM).otherwise("user")
+    name = F.when(role == "user", F.translate(by, "\n<>|", "____"))
+    head = F.concat(F.lit(START), role, F.coalesce(F.concat(F.lit(" name="), name), F.lit("")), F.lit("\n"))
+    length = F.length(head) + F.length("body") + len(f"{END}\n")
+    cells = seen.groupBy("_cell").agg(F.sum(length).alias("_len"), F.count("*").alias("_rows"))
+    cells = cells.withColumn("_run", F.struct("_cell.conv_id", "_cell.perspective", F.floor(F.col("_cell.turn") / block).alias("run")))
+    runs = cells.groupBy("_run").agg(F.sum("_len").alias("_len"), F.sum("_rows").alias("_rows"))
+    runs = _before(runs, F.struct("_run.conv_id", "_run.perspective"), "_run").select("_run", F.col("_at").alias("_run_at"), F.col("_pos").alias("_run_pos"))
+    base = _before(cells, F.col("_run"), "_cell").join(runs, "_run")
+    placed = seen.join(base.select("_cell", F.expr("_at + _run_at").alias("_at"), F.expr("_pos + _run_pos").alias("_pos")), "_cell")
+    inside = Window.partitionBy("_cell").orderBy("body")
+    end = F.col("_at") + F.sum(length).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    placed = placed.withColumns({"pos": F.col("_pos") + F.row_number().over(inside) - 1, "char_end": end})
+    start, masked = F.col("char_end") - length, role == "assistant"
     return placed.select(
-        *dialogue, "pos", "turn", "role", "name", "message", start.alias("char_start"), "char_end", F.when(masked, start + F.col("_head")).alias("mask_start"), F.when(masked, F.col("char_end") - 1).alias("mask_end")
+        "_cell.conv_id",
+        "_cell.perspective",
+        "pos",
+        "_cell.turn",
+        role.alias("role"),
+        name.alias("name"),
+        F.concat(head, F.col("body"), F.lit(f"{END}\n")).alias("message"),
+        start.alias("char_start"),
+        "char_end",
+        F.when(masked, start + F.length(head)).alias("mask_start"),
+        F.when(masked, F.col("char_end") - 1).alias("mask_end"),
     )
 
 
