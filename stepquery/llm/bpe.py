@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -123,6 +124,16 @@ def _shared(vocabulary: str, pattern: str):
     return get
 
 
+def row_name(seen: Counter, task: int, key: object, text: str) -> str:
+    """A name for a row that does not depend on the order in which its task reads, which may change when it is run again.
+
+    Rows that are equal in key and text get different names, but any of them may get any of these.
+    """
+    same = hashlib.blake2b(f"{key!r}\0{text}".encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
+    seen[same] += 1
+    return f"{task}-{same}-{seen[same]}"
+
+
 RESULT = {
     "ids": ("ids array<int>", [pa.field("ids", pa.list_(pa.int32()))]),
     "digest": (
@@ -167,18 +178,15 @@ def _long(plain: DataFrame, key_type: str, tok, result: str, chunk: int, overlap
     names = [f.name for f in fields]
 
     def cut(batches):
+        from pyspark import TaskContext
+
+        task, seen = TaskContext.get().partitionId(), Counter()
         for batch in small_batches(batches, 1):
             text = as_strings(batch.column(1))[0]
-            # a row's own name: repeated rows differ in nothing else, so the place in the task is added
-            cut.n += 1
-            from pyspark import TaskContext
-
-            row = f"{TaskContext.get().partitionId()}-{cut.n}"
+            row = row_name(seen, task, batch.column(0)[0].as_py(), text)
             for no, (start, part) in enumerate(chunks_of(text, chunk, overlap)):
                 yield pa.RecordBatch.from_arrays([pa.array([row]), batch.column(0), pa.array([no], pa.int32()), pa.array([start], pa.int64()), pa.array([part], pa.large_string())], names=["row", "key", "no", "start", "part"])
 
-    cut.n = 0
-
     def split(batches):
         for batch in small_batches(batches, 8):
             t = tok()
