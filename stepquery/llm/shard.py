@@ -33,7 +33,7 @@ BUCKET_BYTES = 256 << 20
 #: A boundary may miss its place by this share of a bucket.
 TOLERANCE = 0.001
 #: Probes of a round, over all boundaries, and the least for one boundary.
-PROBES, LEAST = 4096, 32
+PROBES, LEAST = 4096, 8
 LOW = -(1 << 63)
 
 
@@ -84,10 +84,14 @@ def _count(keys: DataFrame, ph: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray,
 
 
 def _sample(keys: DataFrame, brackets: list[tuple[tuple, tuple]], wanted: int, partitions: int) -> set[tuple[int, int]]:
-    """Keys inside the open brackets (low, high), evenly spaced by bytes within each partition."""
+    """Keys inside the open brackets (low, high), evenly spaced by bytes within each partition.
+
+    Executors thin them out by hash, so the driver gets a bounded number for each bracket, however many partitions there are.
+    """
     lo_h, lo_i = (np.array([b[0][k] for b in brackets], np.int64) for k in (0, 1))
     hi_h, hi_i = (np.array([b[1][k] for b in brackets], np.int64) for k in (0, 1))
-    each = max(1, math.ceil(max(LEAST, wanted / len(brackets)) / partitions))
+    most = max(LEAST, math.ceil(wanted / len(brackets)))
+    each = math.ceil(most / partitions)
 
     def run(batches):
         from pyspark import TaskContext
@@ -110,9 +114,11 @@ def _sample(keys: DataFrame, brackets: list[tuple[tuple, tuple]], wanted: int, p
             at = np.nonzero(b == k)[0]
             upto = np.cumsum(s[at])
             pick = np.unique(np.minimum(np.searchsorted(upto, (np.arange(each) + shift) / each * upto[-1]), len(at) - 1))
-            yield pa.RecordBatch.from_arrays([pa.array(h[at[pick]]), pa.array(i[at[pick]])], names=["h", "i"])
+            yield pa.RecordBatch.from_arrays([pa.array(b[at[pick]]), pa.array(h[at[pick]]), pa.array(i[at[pick]])], names=["b", "h", "i"])
 
-    return {(r.h, r.i) for r in keys.mapInArrow(run, "h long, i long").distinct().collect()}
+    place = F.row_number().over(Window.partitionBy("b").orderBy(F.xxhash64("i", "h"), "h", "i"))
+    got = keys.mapInArrow(run, "b long, h long, i long").distinct().withColumn("place", place).where(F.col("place") <= most).select("h", "i").toArrow()
+    return set(zip(got["h"].to_pylist(), got["i"].to_pylist(), strict=True))
 
 
 def splitters(keys: DataFrame, shards: int = SHARDS, bucket_bytes: int = BUCKET_BYTES, tolerance: float = TOLERANCE) -> Splitters:
