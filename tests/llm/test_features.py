@@ -4,6 +4,7 @@ import base64
 import hashlib
 import time
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,15 @@ def test_stitching_a_run_without_boundaries_is_linear(tiktoken_encoding):
     assert [int(e + s) for s, _, es in pieces for e in es] == tok.ends(text).tolist()
 
 
+def test_row_names_do_not_depend_on_order():
+    rows = [(1, "a"), (2, "a"), (1, "a"), (1, "b"), (None, "a")]
+    names = []
+    for order in (rows, rows[::-1]):
+        seen = Counter()
+        names.append(sorted((str(r), bpe.row_name(seen, 3, *r)) for r in order))
+    assert names[0] == names[1] and len({n for _, n in names[0]}) == len(rows)
+
+
 def test_bpe_digest(spark, tiktoken_encoding):
     for r in bpe.encode(frame(spark, [(i, t) for i, t in TEXTS if i not in (None, 907)]), VOCABULARY, P.PATTERN, result="digest", chunk=300, overlap=30).collect():
         text = dict(TEXTS)[r.doc_id] or ""
@@ -83,6 +93,15 @@ def test_shards(spark, per, rows):
     assert all(r["size"] == len((r.text or "").encode()) + 1 and r.law == "bytes" and r.grown_shard is None for r in got)
 
 
+def test_probes_of_a_bracket_are_bounded(spark):
+    keys = spark.range(20_000).selectExpr("xxhash64(id) as h", "id as i", "1L as size").repartition(64)
+    whole = [((shard.LOW, shard.LOW), ((1 << 63) - 1, (1 << 63) - 1))]
+    found = shard._sample(keys, whole, 10, 64)
+    assert len(found) == 10 and found == shard._sample(keys, whole, 10, 64)
+    s = shard.splitters(keys, 4, 1000)
+    assert s.per_shard == 5 and abs(np.diff([0, *s.rows, 20_000]) - 1000).max() <= 2
+
+
 def test_shards_keep_columns_of_any_name(spark):
     df = spark.createDataFrame([(i, prose(i, 9), 1, 2, 3, 4, 5) for i in range(20)], "doc_id int, text string, _h int, _i int, _b int, _0_1 int, _p int")
     out = shard.shard(df, shards=3)
@@ -399,6 +418,18 @@ def test_chat(spark, block):
     assert chat.rotate(df.limit(0)).count() == 0
 
 
+def test_chat_cells(spark):
+    """Null, negative and equal turns; texts that begin alike; many rows of the null dialogue."""
+    from ..conftest import rows
+
+    data = [(None if i % 3 else i % 2, (None, 5, -3000, 2)[i % 4], ("a", "b", None, "system")[i % 5 % 4], f"{'begin the same' if i % 2 else i % 7} {i % 40}") for i in range(400)]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    import duckdb
+
+    conversations = df.toPandas().astype({"conv_id": "Int64", "turn": "Int64"})  # noqa: F841  read by name
+    assert rows(chat.rotate(df).toPandas()) == rows(duckdb.sql(chat.ORACLE).df())
+
+
 def test_chat_sql(spark, sf_dir, duck):
     from ..conftest import rows
 
