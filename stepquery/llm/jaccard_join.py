@@ -6,18 +6,25 @@ order. Four orders are used. The first is that of the hashes themselves: sets of
 tokens of one and a half prefixes, so a set of which too few are found in a second set is out before anything else is
 done (the shared tokens' Bloom filter lets through some more, never fewer). The others put frequent tokens last, by a
 corpus-wide count sketch, with ties by three different hashes. The second order's prefixes are the index; each of its
-buckets names the most central member that its members know, and all buckets with the same one make a family, so every
-pair of a bucket meets in a family. There candidates must share prefix tokens under every order before their overlap is
+buckets names the most central member that its members know, and all buckets with the same one make a group, so every
+pair of a bucket meets in a group.
+
+Long texts share some tokens with many others by chance and are in many groups, the more the larger the corpus is. So only
+32 bits of each of a set's first tokens by hash are sent to its groups; two sets of which too few agree cannot be similar.
+The pairs that are left join the sets to families: every set is in one family only and its tokens are sent once, and every
+similar pair is in one family. A group of more than FIRST times FAMILY_TOKENS or FAMILY_MEMBERS first loses the members of
+which too few first tokens occur among those of all others, counted by value without copies; what is left is dealt out in
+blocks that meet pairwise. In a family, candidates must share prefix tokens under the other orders before their overlap is
 counted exactly.
 
-Only links between different components are looked for: a family starts with its most central member, which joins most
-of a group of near copies at once, and pairs that are already connected are passed over. A family of more than
-FAMILY_TOKENS or FAMILY_MEMBERS is dealt out in blocks, so no task holds an unbounded group: first every block meets the
-family's centre alone, which costs in proportion to its size; then the members that are not linked to it (the rest) are
-dealt out in blocks of their own, which meet each other and all other blocks pairwise. Members that are linked to the
-centre need not meet, they are connected. No link between different components is lost; the work within one family grows
-with the square of its rest only. Components are then joined by alternating large-star and small-star steps, each written
-to the shared folder.
+Only links between different components are looked for: the most central member is taken first, which joins most of a
+group of near copies at once, and pairs that are already connected are passed over. A family of more than FAMILY_TOKENS or
+FAMILY_MEMBERS is dealt out in blocks, so no task holds an unbounded group: first every block meets the family's centre
+(the member in most of the pairs) alone, which costs in proportion to its size; then the members that are not linked to it
+(the rest) are dealt out in blocks of their own, which meet each other and all other blocks pairwise. Members that are
+linked to the centre need not meet, they are connected. No link between different components is lost; the work within one
+family grows with the square of its rest only. Components are then joined by alternating large-star and small-star steps,
+each written to the shared folder.
 
 Defined results: A-Z are lower-cased and words are split at ASCII white space; a text with fewer words than n is one
 shingle; a null, empty or blank text has an empty set and is linked with nothing; rows with a null id are returned with
@@ -42,6 +49,8 @@ WORDS, PERCENT = 4, 85
 SKETCH = 20
 #: Tokens and members of a family (or of one of its blocks) in one task.
 FAMILY_TOKENS, FAMILY_MEMBERS = 2_000_000, 2048
+#: So many times as many where only first tokens are sent.
+FIRST = 4
 #: Removed ids of up to so many bytes are broadcast; more are joined by a shuffle.
 BROADCAST = 32 << 20
 #: Digests of equal sets that a task remembers.
@@ -181,8 +190,8 @@ def _index(plain: DataFrame, n: int, percent: int, level, common) -> DataFrame:
     return plain.mapInArrow(run, "token long, s1 long, s2 long, n long, rank long")
 
 
-def _sets(plain: DataFrame, n: int, wanted) -> DataFrame:
-    """(s1, s2, tokens) of the sets that may be in a family."""
+def _sets(plain: DataFrame, n: int, wanted, percent: int | None = None) -> DataFrame:
+    """(s1, s2, tokens) of the sets that may be in a family; with a percentage, only 32 bits of each of their first tokens."""
 
     def run(batches):
         done = set()
@@ -194,7 +203,7 @@ def _sets(plain: DataFrame, n: int, wanted) -> DataFrame:
             for s, d, keep in zip(sets, ids, ok, strict=True):
                 if keep and d not in done:
                     done.add(d)
-                    out.append((*d, s.tobytes()))
+                    out.append((*d, (s if percent is None else s[: screen_length(len(s), percent)].astype(np.uint32)).tobytes()))
             if len(done) > CACHE:
                 done.clear()
             if out:
@@ -203,6 +212,106 @@ def _sets(plain: DataFrame, n: int, wanted) -> DataFrame:
     return plain.mapInArrow(run, "s1 long, s2 long, tokens binary").dropDuplicates(["s1", "s2"])
 
 
+def _accompanied(members: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """The members (family, s1, s2, n) of which enough first tokens are also first tokens of other members of the family.
+
+    A family's first tokens are dealt out by their value in parts of bounded size, each of them to one part only. Tokens
+    that agree in their 32 bits count as equal, which lets through some more members, never fewer.
+    """
+    parts = members.groupBy("family").agg(F.ceil(F.sum("n") / FAMILY_TOKENS).cast("long").alias("parts"))
+
+    def deal(batches):
+        for batch in small_batches(batches, 256):
+            row, part, tokens = [], [], []
+            for k, (x, of) in enumerate(zip(batch["tokens"].to_pylist(), batch["parts"].to_pylist(), strict=True)):
+                t = np.frombuffer(x, np.uint32)
+                to = t % of
+                for at in np.unique(to) if of > 1 else (0,):
+                    row.append(k)
+                    part.append(int(at))
+                    tokens.append(t[to == at].tobytes() if of > 1 else x)
+            if row:
+                own = batch.select(["family", "s1", "s2", "n"]).take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([*own.columns, pa.array(part, pa.int64()), pa.array(tokens, pa.binary())], names=["family", "s1", "s2", "n", "part", "tokens"])
+
+    def count(group: pa.Table) -> pa.Table:
+        sets = [np.frombuffer(x, np.uint32) for x in group["tokens"].to_pylist()]
+        _, local, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        shared = np.bincount(owner[often[local] > 1], minlength=len(sets))
+        least = [screen_least(k, percent) for k in group["n"].to_pylist()]
+        return pa.table({**{c: group[c] for c in ("family", "s1", "s2", "n")}, "shared": pa.array(shared, pa.int64()), "least": pa.array(least, pa.int64())})
+
+    dealt = members.join(parts, "family").join(first, ["s1", "s2"]).select("family", "s1", "s2", "n", "parts", "tokens").mapInArrow(deal, "family long, s1 long, s2 long, n long, part long, tokens binary")
+    counted = dealt.groupBy("family", "part").applyInArrow(count, "family long, s1 long, s2 long, n long, shared long, least long")
+    return counted.groupBy("family", "s1", "s2").agg(F.first("n").alias("n"), F.sum("shared").alias("shared"), F.first("least").alias("least")).where("shared >= least").select("family", "s1", "s2", "n")
+
+
+def ties(sets: list[np.ndarray], sizes: np.ndarray, side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Pairs that join all sets that may be similar by their first tokens; pairs of equal `side` are passed over where both occur."""
+    m = len(sets)
+    # the first k tokens that two similar sets share are among the first k - 1 + prefix_length of both
+    share = np.array([1 + screen_length(k, percent) - prefix_length(k, percent) for k in sizes.tolist()])
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])
+    _, local, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    centre = np.bincount(owner, often[local], m) / np.maximum(1, np.bincount(owner, minlength=m))
+    owner, local = owner[often[local] > 1], local[often[local] > 1]
+    begin = np.searchsorted(owner, np.arange(m + 1))
+    by = np.argsort(local, kind="stable")
+    members, posts = owner[by], np.searchsorted(local[by], np.arange(len(often) + 1))
+    turn = np.lexsort((np.arange(m), -centre))
+    place = np.empty(m, np.int64)
+    place[turn] = np.arange(m)
+    crossing = len(np.unique(side)) > 1
+    label, out = np.arange(m), []
+    for u in turn:
+        ok = (label != label[u]) & (place > place[u]) & (100 * np.minimum(sizes, sizes[u]) >= percent * np.maximum(sizes, sizes[u]))
+        if crossing:
+            ok &= side != side[u]
+        if not ok.any():
+            continue
+        mine = local[begin[u] : begin[u + 1]]
+        length = posts[mine + 1] - posts[mine]
+        where = np.arange(length.sum()) + np.repeat(posts[mine] - np.cumsum(length) + length, length)
+        ok &= np.bincount(members[where], minlength=m) >= np.minimum(share, share[u])
+        found = np.nonzero(ok)[0]
+        if len(found):
+            joined, which = np.unique(label[found], return_index=True)
+            out += [(int(u), int(y)) for y in found[which]]
+            label[np.isin(label, joined)] = label[u]
+    return out
+
+
+def _candidates(members: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """(a1, a2, an, b1, b2, bn): pairs that join all members that may be similar, with their sizes. first: (s1, s2, tokens)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        block, n = group["block"].to_numpy(), group["n"].to_numpy()
+        low, high = group["low"][0].as_py(), group["high"][0].as_py()
+        got = ties([np.frombuffer(x, np.uint32) for x in group["tokens"].to_pylist()], n, block if low != high else np.zeros(len(n), np.int64), percent) if low == high or len(np.unique(block)) > 1 else []
+        ends = [np.array([g[k] for g in got], np.int64) for k in (0, 1)]
+        return pa.table({e + c: group[x].to_numpy()[at] for e, at in zip("ab", ends, strict=True) for c, x in (("1", "s1"), ("2", "s2"), ("n", "n"))})
+
+    def sized(of):
+        return of.join(of.groupBy("family").agg(blocks_of(F.sum("n") / FIRST, F.count("*") / FIRST).alias("blocks"), F.count("*").alias("several")).where("several > 1").drop("several"), "family")
+
+    some = materialize(sized(members), "sized")
+    small, big, one = some.where("blocks = 1"), some.where("blocks > 1"), F.lit(0).cast("long")
+    placed = small.select("family", "s1", "s2", "n", one.alias("block"), one.alias("low"), one.alias("high"))
+    if not big.isEmpty():
+        big = sized(materialize(_accompanied(big.drop("blocks"), first, percent), "accompanied"))
+        dealt = big.withColumn("block", F.pmod("s2", "blocks")).withColumn("other", F.explode(F.sequence(one, F.col("blocks") - 1)))
+        placed = placed.unionByName(dealt.select("family", "s1", "s2", "n", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")))
+    return placed.join(first, ["s1", "s2"]).groupBy("family", "low", "high").applyInArrow(run, "a1 long, a2 long, an long, b1 long, b2 long, bn long")
+
+
+def _gathered(pairs: DataFrame) -> DataFrame:
+    """(family, s1, s2, n, degree): every end of the pairs once, in the family of all that the pairs connect it with."""
+    ends = pairs.selectExpr("a1 s1", "a2 s2", "an n").unionByName(pairs.selectExpr("b1 s1", "b2 s2", "bn n")).groupBy("s1", "s2").agg(F.first("n").alias("n"), F.count("*").alias("degree"))
+    roots = connected(pairs.select(F.col("a1").alias("a"), F.col("b1").alias("b")))
+    return ends.join(roots, F.col("s1") == F.col("node"), "left").select(F.coalesce("root", "s1").alias("family"), "s1", "s2", "n", "degree")
+
+
 def links(sets: list[np.ndarray], side: np.ndarray, level: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """Links that join the components of the sets; pairs of equal `side` (0 or 1) are passed over where both sides occur."""
     m = len(sets)
@@ -289,10 +398,9 @@ def blocks_of(tokens: F.Column, members: F.Column) -> F.Column:
 
 
 def _large(plain: DataFrame, words: int, big: DataFrame, level, percent: int) -> DataFrame:
-    """Links (a1, a2, b1, b2) within families of several blocks. big: (family, s1, s2, n, blocks)."""
+    """Links (a1, a2, b1, b2) within families of several blocks. big: (family, s1, s2, n, degree, blocks)."""
     context = plain.sparkSession.sparkContext
-    named = F.expr("shiftrightunsigned(s1, 16) = (family & 281474976710655)").alias("named")  # the member that the family is called after
-    centres = big.groupBy("family").agg(F.max(F.struct(named, "s1", "s2")).alias("c")).select("family", F.col("c.s1").alias("c1"), F.col("c.s2").alias("c2"))
+    centres = big.groupBy("family").agg(F.max(F.struct("degree", "s1", "s2")).alias("c")).select("family", F.col("c.s1").alias("c1"), F.col("c.s2").alias("c2"))
     wanted = context.broadcast(bloom.build(big.select("s1").distinct(), "s1"))
     sets = materialize(big.join(_sets(plain, words, wanted), ["s1", "s2"]), "large-sets")
     wanted.destroy()
@@ -348,6 +456,10 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text", words:
     known = hits.groupBy("s1", "s2").agg(F.max("family").alias("known"))
     bucket = materialize(hits.join(known, ["s1", "s2"]).groupBy("token").agg(F.max("known").alias("family")), "buckets")
     members = materialize(hits.drop("family").join(bucket, "token").groupBy("family", "s1", "s2").agg(F.first("n").alias("n")), "members")
+    wanted = context.broadcast(bloom.build(members.select("s1").distinct(), "s1"))
+    first = materialize(_sets(plain, words, wanted, percent), "first")
+    wanted.destroy()
+    members = materialize(_gathered(materialize(_candidates(members, first, percent), "candidates")), "gathered")
     parts = members.groupBy("family").agg(blocks_of(F.sum("n"), F.count("*")).alias("blocks"))
     sizes = materialize(members.join(parts, "family"), "families")
     small, big = sizes.where("blocks = 1"), sizes.where("blocks > 1")

@@ -68,6 +68,48 @@ def test_blocks_lose_no_link(spark, corpus, monkeypatch, tokens, members):
     assert sorted((r.doc_id is None, r.doc_id or 0, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == brute(corpus, 4, 85)
 
 
+@pytest.mark.parametrize("first", [4, 0.25])
+def test_tokens_are_sent_to_one_family(spark, monkeypatch, first):
+    """Texts of few words share tokens with many others by chance; groups of them are dealt out in blocks where `first` is small."""
+    few = [f"w{i}" for i in range(12)]
+    rows = [(i, prose(700 + i, 150 + 9 * i, few)) for i in range(50)]
+    rows += [(100 + i, near(t, i, i % 9)) for i, t in rows[::3]]
+    written, write = {}, jaccard_join.materialize
+
+    def recorded(df, name, *more):
+        written[name] = write(df, name, *more)
+        return written[name]
+
+    monkeypatch.setattr(jaccard_join, "materialize", recorded)
+    if first < 1:
+        monkeypatch.setattr(jaccard_join, "FAMILY_MEMBERS", 40)
+        monkeypatch.setattr(jaccard_join, "FIRST", first, raising=False)
+    got = jaccard_join.components(frame(spark, rows, False)).collect()
+    assert sorted((r.doc_id is None, r.doc_id, r.n_shingles, r.component_id) for r in got) == brute(rows, 4, 85)
+    sent = written["families"].collect()
+    assert len({(r.s1, r.s2) for r in sent}) == len(sent) > 10
+    assert sum(r.n for r in sent) < 0.7 * sum(r.n_shingles for r in got)
+    assert ("accompanied" in written) == (first < 1)
+
+
+def test_ties_join_what_may_be_similar():
+    r = np.random.default_rng(5)
+    base = r.integers(1, 1 << 63, 400, np.uint64)
+    sets = [np.unique(np.concatenate([base[r.random(400) < keep], r.integers(1, 1 << 63, extra, np.uint64)])) for keep in (1, 0.97, 0.93, 0.9, 0.5) for extra in (0, 10, 30, 60)]
+    sizes = np.array([len(s) for s in sets])
+    first = [s[: jaccard_join.screen_length(len(s), 85)].astype(np.uint32) for s in sets]
+    for side in (np.zeros(len(sets), np.int64), np.arange(len(sets)) % 2):
+        label = list(range(len(sets)))
+        for a, b in jaccard_join.ties(first, sizes, side, 85):
+            label = [label[a] if x == label[b] else x for x in label]
+        for a in range(len(sets)):
+            for b in range(a):
+                if side.any() and side[a] == side[b]:
+                    continue
+                inter = len(np.intersect1d(sets[a], sets[b]))
+                assert label[a] == label[b] or not jaccard_join.similar(inter, len(sets[a]), len(sets[b]), 85)
+
+
 def test_keep_one(spark, corpus):
     df = frame(spark, corpus)
     kept = jaccard_join.keep_one(df)
