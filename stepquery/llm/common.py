@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Only used where the session names no shared folder and runs in one process (tests).
 LOCAL_ROOT = "file:///tmp/checkpoints/stepquery"
+#: Rows of a file of a table whose rows are counted beforehand.
+ROWS_A_FILE = 100_000
 #: Lists of the paths written since each open `scratch` began.
 _SCRATCH: ContextVar[tuple[list[str], ...]] = ContextVar("scratch", default=())
 
@@ -46,8 +48,14 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, name: str, keep: bool = False, rows: int | None = None) -> DataFrame:
+    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    rows: a bound of its rows, where one is known, so that a small table is not dealt out in many tiny files. On a local
+    folder Hadoop runs `chmod` for each file, a child that seems as large as the executor until it starts.
+    """
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = shared_path(df.sparkSession, name)
     if not keep:
         for paths in _SCRATCH.get():

@@ -421,7 +421,9 @@ def _large(plain: DataFrame, words: int, big: DataFrame, level, percent: int) ->
 
 def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each node's component, for nodes with an edge (a, b) to another one."""
-    step, last = materialize(edges.where("a <> b").distinct(), "edges"), None
+    state = lambda of: of.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    step = materialize(edges.where("a <> b").distinct(), "edges")
+    last = state(step)
     for _ in range(most_rounds):
         both = step.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(step.select(F.col("b").alias("u"), F.col("a").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
@@ -430,8 +432,9 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        step = materialize(small, "edges")
-        now = step.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        # of each edge at most one row comes down, and each row at most names one least node
+        step = materialize(small, "edges", rows=2 * last[0])
+        now = state(step)
         if now == last:
             return step.select(F.col("a").alias("node"), F.col("b").alias("root"))
         last = now
