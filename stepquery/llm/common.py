@@ -48,14 +48,16 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False, rows: int | None = None) -> DataFrame:
-    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors.
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, of at most `rows` rows, in so many partitions that it is not dealt out in many tiny files.
 
-    rows: a bound of its rows, where one is known, so that a small table is not dealt out in many tiny files. On a local
-    folder Hadoop runs `chmod` for each file, a child that seems as large as the executor until it starts.
+    On a local folder Hadoop runs `chmod` for each file, a child that seems as large as the executor until it starts.
     """
-    if rows is not None:
-        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+    return df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write `df` once to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = shared_path(df.sparkSession, name)
     if not keep:
         for paths in _SCRATCH.get():

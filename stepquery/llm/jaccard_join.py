@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import bloom
 from . import words as words_module
-from .common import as_bytes, materialize, small_batches, whole_number
+from .common import as_bytes, few_files, materialize, small_batches, whole_number
 
 WORDS, PERCENT = 4, 85
 #: Counters of the frequency sketch (log2), fixed whatever the data.
@@ -433,7 +433,7 @@ def connected(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = down.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b"))
         small = small.unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
         # of each edge at most one row comes down, and each row at most names one least node
-        step = materialize(small, "edges", rows=2 * last[0])
+        step = materialize(few_files(small, 2 * last[0]), "edges")
         now = state(step)
         if now == last:
             return step.select(F.col("a").alias("node"), F.col("b").alias("root"))
